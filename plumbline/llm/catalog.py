@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from plumbline.functions.dates import day_number, readable_day, site_of
 from plumbline.runtime import table
 
-from . import quality, residue
+from . import nearest, quality, residue, turns
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +24,45 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_records(table(spark, sf_dir, "fomc", "fomc_id", "text_content"))
 
 
-QUERIES: dict = {f.__name__: f for f in (p1_found, p1_statistics, p5_found)}
-ORACLES: dict = {}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    speeches = table(spark, sf_dir, "speaker", "speech_id", "date", "domain", "source_url", "fomc_ref_date")
+    left = speeches.where(readable_day(F.col("fomc_ref_date")).isNull()).select(
+        "speech_id", site_of(F.col("source_url"), F.col("domain")).alias("site"), day_number(F.col("date")).alias("at")
+    )
+    right = table(spark, sf_dir, "fomc", "date", "source_url").select(
+        site_of(F.col("source_url")).alias("site"), day_number(F.col("date")).alias("held")
+    )
+    found = nearest.nearest_in_time(left, right, "speech_id", "site", "at", "site", "held", 10)
+    return found.select("speech_id", F.date_format(F.date_from_unix_date("day"), "yyyyMMdd").alias("fomc_date")).distinct()
+
+
+_DUCK_DAY = """CASE
+  WHEN regexp_full_match(trim({c}), '[0-9]{{8}}([.]0)?') THEN try_strptime(substr(trim({c}), 1, 8), '%Y%m%d')
+  WHEN regexp_full_match(trim({c}), '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN try_strptime(trim({c}), '%Y-%m-%d')
+  WHEN regexp_full_match(trim({c}), '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') THEN try_strptime(trim({c}), '%m/%d/%Y')
+  WHEN regexp_full_match(trim({c}), '[A-Za-z]+ [0-9]{{1,2}}, [0-9]{{4}}')
+    THEN coalesce(try_strptime(trim({c}), '%B %d, %Y'), try_strptime(trim({c}), '%b %d, %Y')) END::DATE"""
+_DUCK_SITE = "nullif(regexp_replace(lower(trim({c})), '^(www|m|amp)[.]', ''), '')"
+_DUCK_HOST = "nullif(regexp_extract(source_url, '^[A-Za-z]+://([^/:?#]+)', 1), '')"
+
+P2_ORACLE = f"""
+WITH s AS (
+  SELECT speech_id, {_DUCK_SITE.format(c=f"coalesce(domain, {_DUCK_HOST})")} AS site, {_DUCK_DAY.format(c="date")} AS d
+  FROM speaker WHERE ({_DUCK_DAY.format(c="fomc_ref_date")}) IS NULL),
+f AS (SELECT DISTINCT {_DUCK_SITE.format(c=_DUCK_HOST)} AS site, {_DUCK_DAY.format(c="date")} AS m FROM fomc),
+r AS (
+  SELECT speech_id, m, row_number() OVER (PARTITION BY speech_id ORDER BY abs(m - d), m) AS k
+  FROM s JOIN f ON s.site = f.site AND abs(m - d) <= 10)
+SELECT speech_id, strftime(m, '%Y%m%d') AS fomc_date FROM r WHERE k = 1"""
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, sf_dir, "fomc", "fomc_id", "text_content", "speaker")).select("fomc_id", "turn_no", "who")
+
+
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.speaker_turns(table(spark, sf_dir, "fomc", "fomc_id", "text_content", "speaker"))
+
+
+QUERIES: dict = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p5_found, p6_found, p6_turns)}
+ORACLES: dict = {"p2_found": P2_ORACLE}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.dates import day_number, readable_day, site_of
 from plumbline.runtime import table
 
-from . import nearest, quality, residue, turns
+from . import names, nearest, quality, residue, turns
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ r AS (
 SELECT speech_id, strftime(m, '%Y%m%d') AS fomc_date FROM r WHERE k = 1"""
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_pairs(table(spark, sf_dir, "speaker", "participant"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.speaker_turns(table(spark, sf_dir, "fomc", "fomc_id", "text_content", "speaker")).select("fomc_id", "turn_no", "who")
 
@@ -64,5 +68,5 @@ def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.speaker_turns(table(spark, sf_dir, "fomc", "fomc_id", "text_content", "speaker"))
 
 
-QUERIES: dict = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p5_found, p6_found, p6_turns)}
+QUERIES: dict = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p5_found, p6_found, p6_turns)}
 ORACLES: dict = {"p2_found": P2_ORACLE}

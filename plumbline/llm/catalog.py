@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.dates import day_number, readable_day, site_of
 from plumbline.runtime import table
 
-from . import names, nearest, quality, residue, turns
+from . import lines, names, nearest, quality, residue, template, turns
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +68,41 @@ def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.speaker_turns(table(spark, sf_dir, "fomc", "fomc_id", "text_content", "speaker"))
 
 
-QUERIES: dict = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p5_found, p6_found, p6_turns)}
-ORACLES: dict = {"p2_found": P2_ORACLE}
+def _site():
+    return site_of(F.col("source_url"), F.col("domain"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "speaker", "speech_id", "domain", "source_url", "text_content")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.furniture_lines(_pages(spark, sf_dir), _site())
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(_pages(spark, sf_dir), _site())
+
+
+def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.frequent_sequences(_pages(spark, sf_dir), _site())
+    return found.select("site", "length", F.transform("lines", lambda x: F.hex(x)).alias("line_ids"), "support")
+
+
+P7_ORACLE = f"""
+WITH d AS (
+  SELECT speech_id, {_DUCK_SITE.format(c=f"coalesce(domain, {_DUCK_HOST})")} AS site, text_content AS t
+  FROM speaker WHERE regexp_matches(text_content, '[^[:space:]]')),
+l AS (
+  SELECT speech_id, site, unnest(string_split(t, chr(10))) AS x, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line_no FROM d),
+k AS (
+  SELECT speech_id, site, line_no,
+    regexp_replace(lower(trim(regexp_replace(x, '[[:space:]]+', ' ', 'g'))), '[0-9]+', '#', 'g') AS y FROM l),
+f AS (
+  SELECT site, y FROM k JOIN (SELECT site, count(*) AS n FROM d GROUP BY site) USING (site) WHERE y <> '' GROUP BY site, y, n
+  HAVING count(DISTINCT speech_id) >= 10 AND count(DISTINCT speech_id) >= 0.04 * n)
+SELECT speech_id, line_no::INT AS line_no FROM k SEMI JOIN f USING (site, y)"""
+
+
+QUERIES: dict = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p5_found, p6_found, p6_turns, p7_found, p7_sequences)}
+ORACLES: dict = {"p2_found": P2_ORACLE, "p7_found": P7_ORACLE}

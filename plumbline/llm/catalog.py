@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.dates import day_number, readable_day, site_of
 from plumbline.runtime import table
 
-from . import lines, names, nearest, quality, residue, template, turns
+from . import lines, names, nearest, quality, residue, spam, template, turns
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,10 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("site", "length", F.transform("lines", lambda x: F.hex(x)).alias("line_ids"), "support")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_documents(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 P7_ORACLE = f"""
 WITH d AS (
   SELECT speech_id, {_DUCK_SITE.format(c=f"coalesce(domain, {_DUCK_HOST})")} AS site, text_content AS t
@@ -104,5 +108,5 @@ f AS (
 SELECT speech_id, line_no::INT AS line_no FROM k SEMI JOIN f USING (site, y)"""
 
 
-QUERIES: dict = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p5_found, p6_found, p6_turns, p7_found, p7_sequences)}
+QUERIES: dict = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p5_found, p6_found, p6_turns, p7_found, p7_sequences, p10_found)}
 ORACLES: dict = {"p2_found": P2_ORACLE, "p7_found": P7_ORACLE}

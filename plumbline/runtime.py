@@ -52,4 +52,4 @@ def cut(df: DataFrame) -> DataFrame:
 def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """True if the optimizer's own size estimate of ``df`` is within ``limit`` bytes."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) <= limit
+    return int(str(stats.sizeInBytes())) <= limit

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.dates import day_number, readable_day, site_of
 from plumbline.runtime import table
 
-from . import lines, names, nearest, quality, residue, spam, template, turns
+from . import lines, mixing, names, nearest, quality, residue, spam, template, tokens, turns
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,22 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("site", "length", F.transform("lines", lambda x: F.hex(x)).alias("line_ids"), "support")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(table(spark, sf_dir, "documents", "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_documents(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -108,5 +124,5 @@ f AS (
 SELECT speech_id, line_no::INT AS line_no FROM k SEMI JOIN f USING (site, y)"""
 
 
-QUERIES: dict = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p5_found, p6_found, p6_turns, p7_found, p7_sequences, p10_found)}
+QUERIES: dict = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p5_found, p6_found, p6_turns, p7_found, p7_sequences, p8_ids, p9_mix, p9_shares, p10_found)}
 ORACLES: dict = {"p2_found": P2_ORACLE, "p7_found": P7_ORACLE}

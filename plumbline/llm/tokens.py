@@ -22,13 +22,15 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import hash_sample
+
 #: The vocabulary's splitting pattern, with white space spelled as the Unicode property; fixed value.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+"
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
 BUCKETS = 1 << 14
-#: Documents and distinct words the beforehand folding looks at, at most.
+#: Documents (about) and distinct words (at most) the beforehand folding looks at.
 SAMPLE_DOCUMENTS = 3000
 SAMPLE_WORDS = 20_000
 _NONE = 1 << 30
@@ -110,17 +112,14 @@ def map_entries(df: DataFrame, id_col: str, text_col: str, path: str | None = No
     """Entries of the literal map: every token, and the distinct words of a bounded sample that are folded beforehand."""
     tokens = {word: [rank] for word, rank in read_ranks(path or default_ranks()).items()}
     sample = (
-        df.where(F.length(text_col) > 0)
-        .select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
-        .orderBy("h")
-        .limit(SAMPLE_DOCUMENTS)
-        .select(F.explode(words_of(F.col("text"))).alias("word"))
+        hash_sample(df, id_col, SAMPLE_DOCUMENTS)
+        .select(F.explode(words_of(F.col(text_col).cast("string"))).alias("word"))
         .where(F.length("word") <= 128)
         .groupBy("word")
         .agg(F.count("*").alias("n"))
         .where("n > 1")
     )
-    odd = sample.where(F.expr("true")).orderBy(F.desc("n"), "word").limit(4 * SAMPLE_WORDS)
+    odd = sample.orderBy(F.desc("n"), "word").limit(4 * SAMPLE_WORDS)
     known = F.array(_literal(tokens))
     folded = odd.select("word", F.transform(known, lambda k: F.when(_look(k, F.col("word")).isNull(), _fold(k, F.col("word"))))[0].alias("ids"))
     return tokens | {r["word"]: r["ids"] for r in folded.where("ids is not null").limit(SAMPLE_WORDS).collect()}

@@ -98,8 +98,8 @@ def mixture(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", te
     side = F.broadcast(listed.select("source")) if listed.count() * 64 <= BROADCAST_BYTES else listed.select("source")
     own = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).cast("string").alias("text")).join(side, "source", "left_semi")
     entries = tokens.map_entries(own, "id", "text", path)
-    sized = own.select("id", "source", F.size(tokens.encoded(F.col("text"), entries)).cast("long").alias("tokens")).where("tokens > 0")
-    sized = cut(sized)
+    sized = own.select("id", "source", F.size(tokens.encoded(F.col("text"), entries)).cast("long").alias("tokens"))
+    sized = cut(sized).where("tokens > 0")
     held = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
     wanted = {r["source"]: r for r in listed.collect()}
     total = TOTAL_SHARE * sum(held.values())

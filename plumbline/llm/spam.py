@@ -62,68 +62,67 @@ _REFERENCE = re.compile(r"^\W*(?:\[?\d+\]?\.?\s*)?[^\W\d_][\w'’-]+, (?:[^\W\d_
 _NUMBER = re.compile(r"\d+(?:\.\d+)?")
 _NAMES = re.compile(r"(?:[^\W\d_]+: )?(?:[^\W\d_a-z][\w'’-]+ (?:[^\W\d_]\. )?[^\W\d_a-z][\w'’-]+(?:, | and |; |\.?$)){3,}")
 _PRODUCT = re.compile(r"(?i)\b(?:in stock|free shipping|add to (?:basket|cart)|buy now|tags?:|sold out|order now)")
-_MARKUP = re.compile(r"</?\w+[^>]*>|\]\(|[\[\]()*>|;,#•]")
+_SEPARATORS = "[]()*>|;,#•"
 
 
 def describe(text: str | None) -> tuple | None:
     """(sentences, function_words, links, repetition, entropy, separators, spam_share, tokens) of a text; None without tokens."""
     if not text or not text.strip():
         return None
-    urls = _URL.findall(text)
+    urls = _URL.findall(text) if "://" in text or "www." in text else ()
     plain = _URL.sub(" \u0002 ", text) if urls else text
-    words = [w.lower() for w in _WORD.findall(plain)]
-    n = len(words) + len(urls)
-    if not n:
-        return None
+    words: list[str] = []
     sentence = neutral = 0
     cited = False
     rows = [x for x in plain.split("\n") if x.strip()]
     for at, line in enumerate(rows):
-        own = _WORD.findall(line)
-        links = line.count("\u0002")
-        if not own and not links:
-            continue
-        numbers = len(_NUMBER.findall(line))
-        if numbers >= 2 and numbers * 2 >= len(own) and not links and not _PRODUCT.search(line):
+        links = line.count("\u0002") if urls else 0
+        size = line.count(" ") + 1
+        if size < 60 and not links and (numbers := len(_NUMBER.findall(line))) >= 2 and numbers * 2 >= len(own := _WORD.findall(line.lower())) and not _PRODUCT.search(line):
+            words += own
             neutral += len(own)
             continue
-        if ", " in line and (listed := _NAMES.search(line)):
-            neutral += len(_WORD.findall(listed[0]))
-            line = line.replace(listed[0], " ", 1)
-            own = _WORD.findall(line)
-            if not own:
-                continue
-        if at == 0 and len(rows) > 1 and len(own) <= 14 and not links and "," not in line and line.rstrip()[-1:] not in (".", "|", ""):
+        if at == 0 and len(rows) > 1 and size <= 14 and not links and "," not in line and line.rstrip()[-1:] not in (".", "|", ""):
+            own = _WORD.findall(line.lower())
+            words += own
             neutral += len(own)  # a title
             continue
+        if ", " in line and (listed := _NAMES.match(line)):
+            own = _WORD.findall(listed[0].lower())
+            words += own
+            neutral += len(own)
+            line = line.replace(listed[0], " ", 1)
         loose = links - len(_CITED.findall(line)) if links else 0
-        entry = loose > 0 and len(own) <= WORDS_A_LINK * loose
+        entry = loose > 0 and len(_WORD.findall(line)) <= WORDS_A_LINK * loose
         for segment in _SEGMENT.split(line):
-            own = _WORD.findall(segment)
-            links = segment.count("\u0002")
+            own = _WORD.findall(segment.lower())
+            links = segment.count("\u0002") if urls else 0
             size = len(own) + links
             if not size:
                 continue
-            if _REFERENCE.match(segment.strip()):
-                neutral, cited = neutral + size, True
-                continue
+            words += own
+            if "(" in segment or segment[:10] == "References":
+                if _REFERENCE.match(segment.strip()):
+                    neutral, cited = neutral + size, True
+                    continue
             if cited and len(own) <= 16 and not entry:
                 neutral += size
                 continue
-            bound = sum(1 for w in own if w.lower() in BINDING)
-            if bound and len(own) >= 4 and bound * 18 >= len(own) and not entry:
+            if not entry and len(own) >= 4 and not BINDING.isdisjoint(own) and len(BINDING.intersection(own)) * 18 >= len(own):
                 sentence, cited = sentence + size, False
+    n = len(words) + len(urls)
+    if not n:
+        return None
     counts = Counter(words)
     total = max(len(words), 1)
-    entropy = -sum(c * math.log(c) for c in counts.values()) / total + math.log(total)
-    pairs = max(len(words) - 1, 1)
+    entropy = -sum(c * math.log(c) for c in counts.values() if c > 1) / total + math.log(total)
     return (
         (sentence + neutral) / n,
-        sum(1 for w in words if w in COMMON) / n,
+        sum(c for w, c in counts.items() if w in COMMON) / n,
         len(urls) / n,
-        1 - len(set(zip(words, words[1:]))) / pairs if len(words) > 1 else 0.0,
+        1 - len(set(zip(words, words[1:]))) / (total - 1) if total > 1 else 0.0,
         entropy / math.log(total) if total > 1 else 1.0,
-        min(len(_MARKUP.findall(plain)) / n, 1.0),
+        min(sum(map(plain.count, _SEPARATORS)) / n, 1.0),
         1 - (sentence + neutral) / n,
         n,
     )

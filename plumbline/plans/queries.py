@@ -536,3 +536,37 @@ def cue_positions(spark, d):
 def feature_block(spark, d):
     df = table(spark, d, "fomc", "fomc_id", "text_content")
     return df.select("fomc_id", *[c.alias(n) for n, c in signals.text_features(F.col("text_content"), F.lit(1.0)).items()])
+
+
+# ---- pages, summaries, models (no SQL expresses them) ----------------------------------------------------------------
+
+
+@query()
+def page_texts(spark, d):
+    """Speech pages wrapped as HTML and parsed back."""
+    from plumbline.operators import pages
+
+    df = table(spark, d, "speaker", "speech_id", "text_content")
+    page = F.concat(F.lit("<html><head><title>Speech</title></head><body><nav>menu</nav><div id='article'><p>"), F.replace(F.coalesce("text_content", F.lit("")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></div></body></html>"))
+    return pages.parse_pages(df.select("speech_id", page.alias("html"))).select("speech_id", "parsed.words", F.size("parsed.flags").alias("flags"))
+
+
+@query()
+def summaries(spark, d):
+    from plumbline.operators.summary import summary
+
+    return table(spark, d, "fomc", "fomc_id", "text_content").select("fomc_id", summary(F.col("text_content")).alias("summary"))
+
+
+@query()
+def direction_model(spark, d):
+    """Held-out F1 of a balanced direction classifier, trained on the earlier days."""
+    from plumbline.operators import models
+
+    m = _meetings(spark, d, "text_content", "decision", "quality_score", "quality_flags", "labels_from_fred")
+    m = m.withColumns({"event_date": F.col("day"), "word_count": T.word_count(F.col("text_content")), "direction": S.direction(F.col("decision"))})
+    rows = corpus.usable_for_models(m).select("fomc_id", "event_date", "direction", F.col("text_content").alias("text"))
+    train, test = models.chronological_split(rows, "event_date", "fomc_id")
+    model = models.direction_pipeline().fit(models.with_class_weights(train, "direction"))
+    scored = models.score(model, test, ["fomc_id", "direction"]).withColumn("part", F.lit("test"))
+    return reports.f1_by(scored, ["part"], "direction", "guess")

@@ -100,7 +100,7 @@ def describe(text: str | None) -> tuple:
             held += len(segment) - segment.count(" ") - segment.count("\n")
     share = held / max(size, 1)
     align, marked, period, auto = _layout(lines)
-    if share >= PROSE_SHARE and common >= 0.02 and letters >= 2.8 * len(words):
+    if share >= PROSE_SHARE and letters >= 2.8 * len(words):
         kind = "prose"
     elif align >= 0.5:
         kind = "table"

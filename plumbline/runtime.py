@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +30,33 @@ def session(app: str = "plumbline", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import this package: nothing to do where they already can, else the driver serves it to them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plumbline_shipped", False):
+        return
+    sc._plumbline_shipped = True
+
+    def known(_: object) -> bool:
+        return importlib.util.find_spec("plumbline") is not None
+
+    known.__module__ = "__main__"  # pickled by value, as it must run before the package can be imported
+    if sc.parallelize([0], 1).map(known).first():
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(), "plumbline.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("plumbline", os.path.relpath(full, package)))
+    sc.addPyFile(target)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``, pruned to ``columns`` when any are given."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

@@ -4,7 +4,7 @@ Each document gets density, entropy, repetition and function-word features. Per
 median absolute deviations centre and scale them, correlations come from winsorised scores, and the
 Mahalanobis distance is taken from both. An outlier is spam if it lies towards fewer sentences and more
 links, repetition or separators, and if an exact check finds that a document's stretches of keywords dominate: at least
-``SPAM_SHARE`` of its tokens (spam sentences are shorter than prose) stand in runs of
+``SPAM_SHARE`` (or ``SHORT_SHARE``) of its tokens (spam sentences are shorter than prose) stand in runs of
 keywords, tags, products or links rather than in sentences, table rows, references or glossary entries.
 
 Defined results: null, empty and blank texts and texts without a token have null features and are never
@@ -32,7 +32,10 @@ from .quality import COMMON
 MIN_LANGUAGE = 50
 #: Squared distance beyond which a document is an outlier: the 99.5 % quantile of chi-squared with six degrees.
 DISTANCE2 = 18.5
-SPAM_SHARE = 0.22
+#: Share of tokens outside sentences, tables and references; in texts of fewer than ``LONG`` tokens a title or a link weighs more.
+SPAM_SHARE, SHORT_SHARE, LONG = 0.15, 0.35, 60
+#: Fewer links than this are no list of links.
+LEAST_LINKS = 3
 #: A line with at most so many words to a link is a link's entry, unless it belongs to a reference.
 WORDS_A_LINK = 25
 #: Least scale of each feature, so that a constant feature is not divided by zero.
@@ -93,7 +96,7 @@ def describe(text: str | None) -> tuple | None:
             neutral += len(own)
             line = line.replace(listed[0], " ", 1)
         loose = links - len(_CITED.findall(line)) if links else 0
-        entry = loose > 0 and len(_WORD.findall(line)) <= WORDS_A_LINK * loose
+        entry = loose > 0 and len(urls) >= LEAST_LINKS and len(_WORD.findall(line)) <= WORDS_A_LINK * loose
         for segment in _SEGMENT.split(line):
             own = _WORD.findall(segment.lower())
             links = segment.count("\u0002") if urls else 0
@@ -202,7 +205,7 @@ def spam_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 visible[at] = z[:, SHOWN] @ signs[SHOWN]
             share = b["spam_share"].to_numpy(float)
             with np.errstate(invalid="ignore"):
-                spam = (distance > DISTANCE2) & (towards > 0) & ((visible > LEAST_SHOWN) | (b["tokens"].to_numpy(float) >= FEW)) & (share >= SPAM_SHARE)
+                spam = (distance > DISTANCE2) & (towards > 0) & ((visible > LEAST_SHOWN) | (b["tokens"].to_numpy(float) >= FEW)) & (share >= np.where(b["tokens"].to_numpy(float) >= LONG, SPAM_SHARE, SHORT_SHARE))
             yield pd.DataFrame({"id": b["id"], "distance2": distance, "towards": towards, "spam_share": share, "spam": spam})
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -20,13 +20,14 @@ def _with_calendar(rows: DataFrame, days: DataFrame, entity: str | None, item: C
     """
     key = entity or "_all"
     if entity is None:
-        rows, days = rows.withColumn(key, F.lit(0)), days.withColumn(key, F.lit(0))
+        # the same key for all, but not a constant the optimizer could fold into a join without one
+        rows, days = (d.withColumn(key, F.pmod(F.xxhash64(F.col(d.columns[0])), F.lit(1))) for d in (rows, days))
     calendar = days.groupBy(key).agg(F.sort_array(F.collect_set(item)).alias("_calendar"))
     if fits_broadcast(days.select(key, item.alias("i")).distinct()):
         out = rows.join(F.broadcast(calendar), key, "left")
     else:
         salted = calendar.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = rows.withColumn("_salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
+        out = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
     return out if entity else out.drop(key)
 
 
@@ -63,26 +64,47 @@ def nearest_meeting(left: DataFrame, meetings: DataFrame, left_day: str, meeting
     return joined.withColumn("meeting_day", best["day"]).drop("_calendar")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, carried: list[str], allow_equal: bool = True) -> DataFrame:
-    """Latest right row not later than each left row, per key: one union, one shuffle, one window.
+def as_of(
+    left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, carried: list[str], allow_equal: bool = True, span_s: int | None = None
+) -> DataFrame:
+    """Latest right row not later than each left row, per key: one union and one shuffle.
 
-    Of right rows with equal times the greatest carried values win. Keyless calls must give a bucket as
-    key. Left rows with a null time keep null values; right rows with a null time are left out.
+    With ``span_s`` (seconds; times are then timestamps) a key's rows are split into spans of that length
+    and only the last right row of each span is carried on, so that a key with most of the rows is many
+    tasks. Of right rows with equal times the greatest carried values win. Left rows with a null time keep
+    null values; right rows with a null time are left out; the left columns stay as they are.
     """
     packed = F.struct(*[F.col(c) for c in carried])
-    ours = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1 if allow_equal else -1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType).alias("_right"))
-    theirs = right.where(F.col(right_time).isNotNull()).select(
-        *keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType).alias("_left"), packed.alias("_right")
-    )
-    window = Window.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_first(), "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
-    seen = ours.unionByName(theirs).withColumn("_seen", F.last("_right", True).over(window)).where(F.col("_left").isNotNull())
-    return seen.select("_left.*", *[F.when(F.col("_t").isNotNull(), F.col(f"_seen.{c}")).alias(f"asof_{c}") for c in carried])
-
-
-def forward_fill(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Last non-null value so far, per key in time order."""
-    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, True).over(window) for c in columns})
+    right_type = right.select(packed.alias("p")).schema["p"].dataType
+    left_type = left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType
+    ours = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1 if allow_equal else -1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right_type).alias("_right"))
+    theirs = right.where(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left_type).alias("_left"), packed.alias("_right"))
+    both = ours.unionByName(theirs).withColumn("_order", F.struct("_t", "_side", "_right")).withColumn("_seen", F.col("_right"))
+    if span_s:
+        both = both.withColumn("_span", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / span_s))
+    filled = forward_fill(both, keys, "_order", ["_seen"], "_span" if span_s else None).where(F.col("_left").isNotNull())
+    return filled.select("_left.*", *[F.when(F.col("_t").isNotNull(), F.col(f"_seen.{c}")).alias(f"asof_{c}") for c in carried])
+
+
+def forward_fill(df: DataFrame, keys: list[str], order: str, columns: list[str], span: str | None = None) -> DataFrame:
+    """Last non-null value so far, per key in ``order``.
+
+    ``span`` names a column that grows with ``order``: the fill then runs within each key and span, and
+    what the spans before hold comes from one row a span, so that no key is one task.
+    """
+    if span is None:
+        window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, True).over(window) for c in columns})
+    window = Window.partitionBy(*keys, span).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = df.groupBy(*keys, span).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_end_{c}") for c in columns])
+    earlier = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col(span).alias("_key_span"), *[F.last(f"_end_{c}", True).over(earlier).alias(f"_in_{c}") for c in columns])
+    within = df.withColumns({c: F.last(c, True).over(window) for c in columns})
+    same = F.col(span).eqNullSafe(F.col("_key_span"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    out = within.join(carried, same, "left").withColumns({c: F.coalesce(c, f"_in_{c}") for c in columns})
+    return out.select(*df.columns)
 
 
 def lag_change(column: str, keys: list[str], day_number: str, days: int) -> Column:

@@ -243,7 +243,7 @@ def asof_purchase(spark, d):
     ev = table(spark, d, "events", "event_id", "ts", "user_id", "event_type", "value")
     views = ev.where("event_type = 'view'").select("event_id", "user_id", "ts")
     bought = ev.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought"), "value")
-    out = temporal.as_of(views, bought, ["user_id"], "ts", "bought", ["value", "bought"])
+    out = temporal.as_of(views, bought, ["user_id"], "ts", "bought", ["value", "bought"], span_s=86_400)
     return out.select("event_id", F.col("asof_value").alias("last_value"), F.col("asof_bought").alias("last_ts"))
 
 
@@ -308,8 +308,8 @@ def gap_fill(spark, d):
   OVER (PARTITION BY site ORDER BY d, fomc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried, fomc_id FROM m WHERE d IS NOT NULL AND site IS NOT NULL""")
 def carried_labels(spark, d):
     m = _meetings(spark, d, "document_type", "decision").where("day is not null and site is not null")
-    m = m.withColumns({"carried": F.when(F.col("document_type") == "statement", F.col("decision")), "order": F.struct("day", "fomc_id")})
-    return temporal.forward_fill(m, ["site"], "order", ["carried"]).select("site", "day", "carried", "fomc_id")
+    m = m.withColumns({"carried": F.when(F.col("document_type") == "statement", F.col("decision")), "order": F.struct("day", "fomc_id"), "month": F.trunc("day", "month")})
+    return temporal.forward_fill(m, ["site"], "order", ["carried"], "month").select("site", "day", "carried", "fomc_id")
 
 
 # ---- merges, filters, search ---------------------------------------------------------------------------------------

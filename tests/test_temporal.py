@@ -57,6 +57,14 @@ def test_as_of_never_looks_ahead_and_keeps_extra_columns(spark):
     assert strict["x"] == 1.0
 
 
+def test_spans_change_nothing(spark):
+    rows = [("a" if i % 3 else "b", i * 7919 % 101, None if i % 4 else float(i)) for i in range(120)] + [("a", None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, t int, v double").withColumns({"n": F.monotonically_increasing_id(), "s": F.floor(F.col("t") / 10)})
+    df = df.withColumn("o", F.struct("t", "n")).cache()
+    plain, spans = (temporal.forward_fill(df, ["k"], "o", ["v"], s) for s in (None, "s"))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, spans.collect()))
+
+
 def test_band_anti_join(spark):
     c = spark.createDataFrame([(1, "a", D(2020, 1, 10)), (2, "a", D(2020, 1, 11)), (3, "q", D(2020, 1, 1)), (4, "a", None)], "i int, name string, day date")
     o = spark.createDataFrame([("a", D(2020, 1, 7)), ("a", D(2020, 1, 7)), (None, D(2020, 1, 1))], "name string, day date")

@@ -84,6 +84,19 @@ def test_template_lines_are_found_and_the_body_is_not(spark):
     assert template.furniture_lines(df.where("false"), F.col("site"), "id", "text").count() == 0
 
 
+def test_large_templates_and_line_tables_are_joined_instead_of_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([r[:3] for r in _pages(random.Random(5))], "id long, site string, text string")
+    results = []
+    for bound in (template.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(template, "BROADCAST_BYTES", bound)
+        monkeypatch.setattr(lines, "BROADCAST_BYTES", bound)
+        furniture = {tuple(r) for r in template.furniture_lines(df, F.col("site"), "id", "text").collect()}
+        repeated = {tuple(r) for r in lines.repeated_lines(df, F.col("site"), "id", "text").collect()}
+        sequences = lines.frequent_sequences(df, F.col("site"), "id", "text").count()
+        results.append((furniture, repeated, sequences))
+    assert results[0] == results[1] and results[0][0] and results[0][1]
+
+
 def test_furniture_forms():
     body = "The committee judged that risks had become more even, although it remained too early to say whether the pause would last at all."
     text = f"Published: 12 Mar 2010\nSpeech by A. Day at the Kelvast Forum\nHome > News > 2024 > Wages\nThe pause and the outlook\n{body}\nRead more: A note on wages\nHome and abroad: wages\n{body}\nWe use cookies for statistics. OK, got it\nThank you."

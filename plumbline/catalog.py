@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.plans import more_queries  # noqa: F401  (registers its queries)
 from plumbline.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -64,9 +64,9 @@ def _quoted(term: str) -> str:
 
 
 def substring_hits(text: Column, term: str) -> Column:
-    """Occurrences of ``term`` anywhere, also inside words; 0 for null."""
+    """Occurrences of ``term`` anywhere, also inside words; 0 for null. Sizes are compared in bytes, which needs no pass over the text."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    return ((F.length(lower) - F.length(F.replace(lower, F.lit(term.lower()), F.lit("")))) / len(term)).cast("int")
+    return ((F.octet_length(lower) - F.octet_length(F.replace(lower, F.lit(term.lower()), F.lit("")))) / len(term.lower().encode())).cast("int")
 
 
 def bounded_hits(text: Column, term: str) -> Column:
@@ -86,7 +86,20 @@ def sum_substring_hits(text: Column, terms: Iterable[str]) -> Column:
 
 
 def sum_bounded_hits(text: Column, terms: Iterable[str]) -> Column:
-    return total(bounded_hits(text, t) for t in terms)
+    """Sum of ``bounded_hits``: terms that share no word cannot overlap and are counted in one pass together."""
+    groups: list[tuple[set[str], list[str]]] = []
+    for term in terms:
+        own = set(term.lower().split())
+        for held, members in groups:
+            if not held & own:
+                held |= own
+                members.append(term)
+                break
+        else:
+            groups.append((own, [term]))
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    patterns = ("|".join(_quoted(t) for t in sorted(members, key=len, reverse=True)) for _, members in groups)
+    return total(F.regexp_count(lower, F.lit(rf"\b(?:{p})\b")) for p in patterns)
 
 
 def hit_map(text: Column, terms: Iterable[str], bounded: bool = False) -> Column:

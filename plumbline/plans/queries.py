@@ -515,13 +515,6 @@ def lexicon_scores(spark, d):
     return signals.lexicon_hits(table(spark, d, "fomc", "fomc_id", "text_content"), "fomc_id", "text_content", F.broadcast(lexicon))
 
 
-@query()
-def timeline(spark, d):
-    """Word counts at which each speech would be scored while it grows."""
-    s = table(spark, d, "speaker", "speech_id", "text_content").select("speech_id", T.word_count(F.col("text_content")).alias("total"))
-    return s.select("speech_id", "total", F.explode(signals.timeline_points(F.col("total"), 60, 100, 35)).alias("prefix_words"))
-
-
 @query()
 def signal_excerpts(spark, d):
     return signals.excerpts(table(spark, d, "fomc", "fomc_id", "text_content"), "fomc_id", "text_content", ("inflation", "prices", "outlook", "price stability"))

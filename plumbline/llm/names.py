@@ -19,7 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.runtime import cut
@@ -273,10 +273,9 @@ def name_entities(df: DataFrame, name_col: str = "participant") -> DataFrame:
     known = cut(whole.join(groups, "node").select("name", "kind", "given", "middle", "title", "family", "entity"))
     people = known.where("kind = 'full'")
     marks = people.groupBy("entity").agg(F.collect_set("middle").alias("middles"), F.collect_set("title").alias("titles"))
-    spread = F.udf(lambda g: sorted({x[:n] for x in _givens(g) for n in (1, 3)}), "array<string>")
     parts = people.select("entity", "given", "family").distinct()
     parts = parts.unionByName(parts.select("entity", F.col("family").alias("given"), F.col("given").alias("family")))
-    forms = parts.select("entity", "family", F.explode(spread("given")).alias("given")).distinct().join(marks, "entity")
+    forms = parts.select("entity", "family", F.explode(_beginnings(F.col("given"))).alias("given")).distinct().join(marks, "entity")
     short = parsed.where("kind = 'short'")
     first = cut(_attach(short, forms, ["family", "given"]))
     family = parsed.where("kind = 'family'")
@@ -295,11 +294,23 @@ def name_entities(df: DataFrame, name_col: str = "participant") -> DataFrame:
     return known.select("name", "entity").unionByName(placed).unionByName(alone).unionByName(unclear)
 
 
+def _beginnings(given: Column) -> Column:
+    """First letter and first three letters of a given name and of the names it may be short for."""
+    known = F.create_map(*[x for k, v in sorted(NICKNAME_OF.items()) for x in (F.lit(k), F.array(*map(F.lit, sorted(v))))])
+    names = F.concat(F.array(given), F.coalesce(F.try_element_at(known, given), F.array().cast("array<string>")))
+    return F.array_distinct(F.flatten(F.transform(names, lambda n: F.array(F.substring(n, 1, 1), F.substring(n, 1, 3)))))
+
+
+def _cuts(word: Column) -> Column:
+    """``_deletions`` as an expression."""
+    without = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+    return F.when(F.length(word) > 3, F.array_distinct(F.concat(F.array(word), without))).otherwise(F.array(word))
+
+
 def _mistyped(mentions: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
     """``_attach`` for mentions whose family name is one letter off, through its one-letter deletions."""
-    cuts = F.udf(_deletions, "array<string>")
-    left = mentions.select("name", "middle", "title", "family", *keys, F.explode(cuts("family")).alias("near"))
-    right = forms.select("entity", F.col("family").alias("meant"), "middles", "titles", *keys, F.explode(cuts("family")).alias("near"))
+    left = mentions.select("name", "middle", "title", "family", *keys, F.explode(_cuts(F.col("family"))).alias("near"))
+    right = forms.select("entity", F.col("family").alias("meant"), "middles", "titles", *keys, F.explode(_cuts(F.col("family"))).alias("near"))
     near = left.join(right, ["near", *keys]).where(F.levenshtein("family", "meant") <= 2)
     return _attach(mentions, near.select("entity", "middles", "titles", "family", *keys).distinct(), ["family", *keys])
 

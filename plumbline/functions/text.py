@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it (Java's \s alone is ASCII).
 SPACE = r"[\t\n\x0B\f\r \x85\xA0  -     　]"
+#: Month names and the forms of dates, percentages and basis points that count as figures.
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 

@@ -17,7 +17,11 @@ from plumbline.functions import scores as S
 _DROPPED = frozenset(("script", "style", "nav", "noscript", "template", "svg"))
 _VOID = frozenset(("br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"))
 _BLOCK = frozenset(("p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "main", "body", "br", "title", "header", "footer"))
+#: Fewer words than this are a short body; the phrases and the reach within which a statement names its decision and range.
 SHORT_WORDS = 120
+RATE_PHRASE, RATE_REACH = "federal funds rate", 550
+RANGE_PATTERN = r"(?i)(?:at|to)\s+([\d/-]+)\s+to\s+([\d/-]+)\s+percent"
+DECISION_PATTERN = r"(?i)to\s+(maintain|lower|raise)\s+the\s+target\s+range"
 
 
 class _Collector(HTMLParser):
@@ -121,9 +125,8 @@ def best_variant(df: DataFrame, keys: list[str], words: str, order: str) -> Data
 
 def statement_policy(text: Column) -> dict[str, Column]:
     """Decision and range of a statement: the range is looked for within 550 characters of the rate's first mention."""
-    at = F.instr(F.lower(text), "federal funds rate")
-    near = F.when(at > 0, F.substr(text, at, F.lit(550)))
-    pattern = r"(?i)(?:at|to)\s+([\d/-]+)\s+to\s+([\d/-]+)\s+percent"
-    decision = F.lower(F.regexp_extract(text, r"(?i)to\s+(maintain|lower|raise)\s+the\s+target\s+range", 1))
-    first, second = (S.rate_text(S.rate_value(F.regexp_extract(near, pattern, g))) for g in (1, 2))
+    at = F.instr(F.lower(text), RATE_PHRASE)
+    near = F.when(at > 0, F.substr(text, at, F.lit(RATE_REACH)))
+    decision = F.lower(F.regexp_extract(text, DECISION_PATTERN, 1))
+    first, second = (S.rate_text(S.rate_value(F.regexp_extract(near, RANGE_PATTERN, g))) for g in (1, 2))
     return {"decision": F.when(decision == "", "maintain").otherwise(decision), "range_from": first, "range_to": second}

@@ -78,7 +78,8 @@ def merge_and_write(spark: SparkSession, path: str, new: DataFrame, schema: T.St
     lost executor only repeats tasks.
     """
     new = new.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-    years = [r["year"] for r in new.select("year").distinct().collect()]
+    given = {r["year"]: r["count"] for r in new.groupBy("year").count().collect()}
+    years = list(given)
     if not years:
         return 0
     stored = read_corpus(spark, path, schema).where(F.col("year").isin(years))
@@ -95,7 +96,7 @@ def merge_and_write(spark: SparkSession, path: str, new: DataFrame, schema: T.St
             fs.rename(place, old)
         fs.rename(fresh, place)
     fs.delete(_path(spark, staging)[1], True)
-    return new.count()
+    return sum(given.values())
 
 
 def append_log(df: DataFrame, path: str) -> None:

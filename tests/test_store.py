@@ -86,3 +86,11 @@ def test_reports(spark):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="b, c"):
         corpus.require(spark.createDataFrame([(1,)], "a int"), ["a", "b", "c"])
+
+
+def test_workers_can_import_the_package(spark):
+    from plumbline.runtime import ship
+
+    ship(spark)
+    ship(spark)
+    assert spark.sparkContext.parallelize([0], 1).map(lambda _: __import__("plumbline").__version__).first()

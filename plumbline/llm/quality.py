@@ -1,8 +1,9 @@
 """Per-document statistics that tell prose from lists, tables, forms, code and junk.
 
 Layout evidence (vertical alignment of delimiters, periodicity of markers and indentation,
-autocorrelation of line lengths) is combined with word, symbol and punctuation ratios and with the
-share of the text that stands in sentences.
+autocorrelation of line lengths) finds the blocks of lines that are rows. Rows are no sentences: a text
+is prose if the sentences outside its rows hold half of it, unless rows are half of its lines and more
+than its sentences. Word, symbol and punctuation ratios are reported beside.
 
 Defined results: a null or blank text has zero words, null ratios and ``kind`` = 'empty', so it is
 never found; repeated rows give repeated rows; an empty table gives an empty result; columns other
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,10 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _DELIMITERS = ("|", "\t", ";", ",", " .. ", "   ", ": ", " - ", " – ")
 #: Sentences of a text must hold this share of it, else it is not prose.
 PROSE_SHARE = 0.5
+#: Rows of a block: at least so many in turn; by commas or by period alone only with so few words a cell or row.
+BLOCK_ROWS, CELL_WORDS = 3, 4
+#: Indentation period or autocorrelation of line lengths from which short rows are periodic.
+PERIODIC = 0.3
 
 FIELDS = (
     "n_words int, mean_word_length double, symbol_ratio double, digit_ratio double, closed_line_share double, common_word_share double, "
@@ -82,6 +88,56 @@ def _layout(lines: list[str]) -> tuple[float, float, float, float]:
     return align, sum(marks) / n, max(period, 0.0), corr(length, 1)
 
 
+def _runs(same: list[bool]) -> Iterator[tuple[int, int]]:
+    """(first, end) of the runs of lines each of which is like the one before, ``BLOCK_ROWS`` lines at least."""
+    first = 0
+    for i in range(1, len(same) + 2):
+        if i > len(same) or not same[i - 1]:
+            if i - first >= BLOCK_ROWS:
+                yield first, i
+            first = i
+
+
+def _rows(lines: list[str]) -> set[int]:
+    """Indexes of the lines that are rows of a table, form or list by their layout, whatever they say.
+
+    Rows are aligned (equal counts of a delimiter in adjacent lines; where prose has the delimiter too,
+    only with short cells and figures among them) or short, open lines led by markers or periodic in indentation or length.
+    """
+    out: set[int] = set()
+    if len(lines) < BLOCK_ROWS:
+        return out
+    size = [len(x.split()) for x in lines]
+    for d in _DELIMITERS:
+        plain = d in ("|", "\t")
+        counts = [x.strip().count(d) for x in lines]
+        if max(counts) < 2:
+            continue
+        counts = [a if plain or n <= CELL_WORDS * (a + 1) else 0 for a, n in zip(counts, size)]
+        for first, end in _runs([a == b and a >= 2 for a, b in zip(counts, counts[1:])]):
+            figures = sum(any(_NUMERIC.fullmatch(c.strip()) for c in x.split(d)) for x in lines[first:end])
+            if plain or 2 * figures >= end - first:
+                out.update(range(first, end))
+    short = [n <= 2 * CELL_WORDS and x.rstrip()[-1] not in ".!?" for n, x in zip(size, lines)]
+    for first, end in _runs([a and b for a, b in zip(short, short[1:])]):
+        _, marked, period, auto = _layout(lines[first:end])
+        brief = sum(size[first:end]) <= CELL_WORDS * (end - first)
+        if marked >= 0.5 or (brief and (period >= PERIODIC or abs(auto) >= PERIODIC)):
+            out.update(range(first, end))
+    return out
+
+
+def _sentences(text: str) -> tuple[int, int]:
+    """(number, characters but blanks) of the sentences of a text."""
+    count = held = 0
+    for segment in _BREAK.split(_LEADER.sub("\u2025", text)):
+        segment = segment.strip()
+        if segment and _is_sentence(segment):
+            count += 1
+            held += len(segment) - segment.count(" ") - segment.count("\n")
+    return count, held
+
+
 def describe(text: str | None) -> tuple:
     """The statistics of one text, in the order of ``FIELDS``."""
     if text is None or not text.strip():
@@ -93,14 +149,16 @@ def describe(text: str | None) -> tuple:
     letters = sum(map(len, words))
     digits = sum(map(text.count, "0123456789"))
     common = sum(1 for w in words if w.lower() in COMMON) / max(len(words), 1)
-    held = 0
-    for segment in _BREAK.split(_LEADER.sub("\u2025", text)):
-        segment = segment.strip()
-        if segment and _is_sentence(segment):
-            held += len(segment) - segment.count(" ") - segment.count("\n")
+    rows = _rows(lines)
+    if rows:
+        parts = ["\n".join(x for _, x in g) for is_row, g in groupby(enumerate(lines), lambda x: x[0] in rows) if not is_row]
+        found = [_sentences(x) for x in parts]
+        spoken, held = sum(n for n, _ in found), sum(n for _, n in found)
+    else:
+        spoken, held = _sentences(text)
     share = held / max(size, 1)
     align, marked, period, auto = _layout(lines)
-    if share >= PROSE_SHARE and letters >= 2.8 * len(words):
+    if share >= PROSE_SHARE and letters >= 2.8 * len(words) and not (2 * len(rows) >= len(lines) and len(rows) > spoken):
         kind = "prose"
     elif align >= 0.5:
         kind = "table"

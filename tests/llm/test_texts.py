@@ -154,3 +154,21 @@ def test_mixture_meets_shares_and_caps(spark):
     assert short["falls_short"] and 0.5 < short["actual_share"] < 0.8 and chosen.count() == 150
     empty, none = mixing.mixture(df.where("false"), spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"), "id")
     assert empty.count() == 0 and none.collect()[0]["falls_short"] and np.isfinite(none.collect()[0]["actual_share"])
+
+
+LEAD = "The committee judged that risks had become more even, although it was too early to say whether the pause would last at all. "
+TABULAR = [
+    LEAD * 2 + "\nItem | A | B\n" + "\n".join(f"Row {i} | {i}.5 | {i * 3}" for i in range(9)) + "\n" + LEAD, LEAD * 2 + "\n" + "\n".join(f"Item {i}, {i}.5, {i * 3}" for i in range(12)),
+    LEAD * 2 + "\n" + "\n".join(f"- Point {i} of May" for i in range(12)), LEAD * 2 + "\n" + "\n".join(f"{'  ' * (i % 2)}Desk {'of the bank' * (i % 2)}" for i in range(12)),
+]
+WRAPPED = "The bank, the board, and\nthe staff, in May, and\nin June, as before, and\nin July, at last, were\nof one mind on rates.\n"
+
+
+@pytest.mark.parametrize("text", TABULAR)
+def test_lead_sentences_do_not_make_rows_prose(text):
+    assert quality.describe(text)[-2] >= quality.PROSE_SHARE and quality.describe(text)[-1] != "prose"
+
+
+@pytest.mark.parametrize("text", [WRAPPED * 3, (WRAPPED * 3).upper(), LEAD * 8 + "\nItem | A | B\nRow | 1 | 2\nRow | 3 | 4", "\n".join(f"- {LEAD}" for _ in range(5))])
+def test_rows_among_prose_leave_it_prose(text):
+    assert quality.describe(text)[-1] == "prose"

@@ -85,7 +85,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.frequent_sequences(_pages(spark, sf_dir), _site())
+    found = lines.frequent_sequences(_pages(spark, sf_dir), _site(), gaps=True)
     return found.select("site", "length", F.transform("lines", lambda x: F.hex(x)).alias("line_ids"), "support")
 
 

@@ -142,3 +142,34 @@ def test_registered_queries_have_their_columns(spark):
         assert df.columns == columns, name
         if name != "p8_ids":
             assert df.count() == df.distinct().count(), name
+
+
+def test_long_sequences_are_grown_whole_and_with_gaps(spark):
+    footer = ["Terms", "Privacy", "Contact", "Press", "Jobs", "Archive"]
+    words = ["alpha", "beta", "gamma"]
+    rows = [(i, "s", "\n".join(x for f in footer for x in (f, *(["note " + words[i % 3] * (i + 1)] if f == "Press" else [])))) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, site string, text string")
+    runs = [r["length"] for r in lines.frequent_sequences(df, F.col("site"), "id", "text").collect()]
+    assert sorted(runs) == [1, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 4]
+    whole = spark.createDataFrame([(i, "s", "\n".join(footer)) for i in range(12)], "id long, site string, text string")
+    assert max(r["length"] for r in lines.frequent_sequences(whole, F.col("site"), "id", "text").collect()) == 6
+    got = [(r["length"], r["support"]) for r in lines.frequent_sequences(df, F.col("site"), "id", "text", gaps=True).collect()]
+    assert sorted(got) == sorted((n, 30) for n in range(1, 7) for _ in combinations(footer, n))
+
+
+def test_sequences_with_gaps_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice("st"), "\n".join(rng.choice("abcde") for _ in range(6))) for i in range(80)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "id long, site string, text string")
+    got = {(r["site"], r["length"], tuple(r["lines"])): r["support"] for r in lines.frequent_sequences(df, F.col("site"), "id", "text", 10, 0.25, gaps=True).collect()}
+    names = {r["h"]: r["x"] for r in spark.createDataFrame([(x,) for x in "abcde"], "x string").select("x", F.xxhash64("x").alias("h")).collect()}
+    want = {}
+    for site in "st":
+        docs = [t.split("\n") for _, s, t in rows if s == site]
+        held = [{c for n in range(1, 7) for c in combinations(d, n)} for d in docs]
+        for c in set().union(*held):
+            support = sum(c in h for h in held)
+            if support >= 10 and support >= 0.25 * len(docs):
+                want[site, len(c), c] = support
+    assert {(s, n, tuple(names[x] for x in c)): k for (s, n, c), k in got.items()} == want and max(n for _, n, _ in want) >= 3

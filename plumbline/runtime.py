@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import importlib.util
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -20,6 +22,7 @@ def session(app: str = "plumbline", master: str | None = None, **conf: str) -> S
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -62,12 +65,17 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; choose one only where none is set."""
+    """Keep the cluster's shared checkpoint folder; choose one only where none is set and all executors are local."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     chosen = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(chosen or os.path.join(tempfile.gettempdir(), "plumbline-checkpoints"))
+    if not chosen:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        chosen = tempfile.mkdtemp(prefix="plumbline-checkpoints-")
+        atexit.register(shutil.rmtree, chosen, ignore_errors=True)
+    sc.setCheckpointDir(chosen)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -106,8 +106,8 @@ def test_furniture_forms():
 
 def _rare_notices(rng):
     """A large site where each notice, with a varying middle, is on one page in a hundred, and sidebars of titles whose heading is on few pages."""
-    words = [f"word{i}" for i in range(500)]
-    notices = [f"Desk {chr(97 + k)}x{k % 7} of {{}} {{}} is open on day{k}z" for k in range(10)]
+    words = [f"{a}{b}{c}u" for a in "bdfgklmprst" for b in "aeio" for c in "lmnrst"]
+    notices = [f"Desk {c}x of {{}} {{}} is open on {c}day" for c in "abcdefghij"]
     rows = []
     for i in range(1600):
         body = [" ".join(rng.choice(words) for _ in range(30)) + "." for _ in range(3)]

@@ -1,16 +1,17 @@
 """Keyword-stuffed and link-list pages: robust Mahalanobis outliers in spam-directed directions.
 
-Each document gets density, entropy, repetition and function-word features. Per language, medians and
-median absolute deviations centre and scale them, correlations come from winsorised scores, and the
-Mahalanobis distance is taken from both. An outlier is spam if it lies towards fewer sentences and more
-links, repetition or separators, and if an exact check finds that a document's stretches of keywords dominate: at least
-``SPAM_SHARE`` (or ``SHORT_SHARE``) of its tokens (spam sentences are shorter than prose) stand in runs of
-keywords, tags, products or links rather than in sentences, table rows, references or glossary entries.
+Each document gets density, entropy, repetition and function-word features; the first is the share of its tokens
+in sentences, table rows, references, names or titles. Per language, medians and median absolute deviations
+centre and scale them, correlations come from winsorised scores, and the Mahalanobis distance is taken from both.
+A document is spam if its squared distance is beyond ``DISTANCE2`` and its deviation, whitened like the distance,
+points within an angle of cosine ``COSINE`` of one of the ``DIRECTIONS``: keyword runs, lists of links or lists of
+tags and products. Distance and direction alone decide.
 
 Defined results: null, empty and blank texts and texts without a token have null features and are never
-found; a language is its two-letter code in lower case, 'und' if null, and languages with fewer than
-``MIN_LANGUAGE`` documents share the statistics of all; repeated rows give repeated rows; an empty table
-gives an empty result; columns other than those named are ignored. Statistics cover all documents.
+found; a language is its two-letter code in lower case, 'und' if null; the statistics of a language are drawn
+towards those of all documents with a weight of ``PRIOR`` documents, so rare languages need no rule of their own;
+repeated rows give repeated rows; an empty table gives an empty result; columns other than those named are
+ignored. Statistics cover all documents; one row a two-letter code reaches the driver.
 """
 
 from __future__ import annotations
@@ -25,28 +26,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.runtime import cut
+from plumbline.runtime import cut, ship
 
 from .quality import COMMON
 
-MIN_LANGUAGE = 50
+PRIOR = 50
 #: Squared distance beyond which a document is an outlier: the 99.5 % quantile of chi-squared with six degrees.
 DISTANCE2 = 18.5
-#: Share of tokens outside sentences, tables and references; in texts of fewer than ``LONG`` tokens a title or a link weighs more.
-SPAM_SHARE, SHORT_SHARE, LONG = 0.15, 0.35, 60
+#: Cosine between a document's whitened deviation and the nearest spam direction from which it points there.
+COSINE = 0.65
 #: Fewer links than this are no list of links.
 LEAST_LINKS = 3
 #: A line with at most so many words to a link is a link's entry, unless it belongs to a reference.
 WORDS_A_LINK = 25
 #: Least scale of each feature, so that a constant feature is not divided by zero.
 FEATURES = {"sentences": 0.05, "function_words": 0.04, "links": 0.02, "repetition": 0.08, "entropy": 0.05, "separators": 0.03}
-#: Signs that point towards spam.
-TOWARDS = {"sentences": -1, "function_words": -1, "links": 1, "repetition": 1, "entropy": -1, "separators": 1}
-#: In a document of fewer than ``FEW`` tokens, as short as a title, links, repetition, entropy and separators must show it too,
-#: by this many scaled deviations in all.
-FEW = 20
-SHOWN = [2, 3, 4, 5]
-LEAST_SHOWN = 1.0
+#: Spam-directed directions in scaled deviations of the ``FEATURES``, in their order.
+DIRECTIONS = {"keywords": (-4, -2, 0, 1, -1, 0), "links": (-4, -2, 2, 0, 0, 1), "tags": (-4, -2, 0, 0, 0, 2)}
 
 #: Words that make a stretch a sentence: auxiliaries, pronouns, conjunctions of four languages; fixed values.
 BINDING = frozenset(
@@ -54,8 +50,8 @@ BINDING = frozenset(
     we i you he she him her as by to from with there than but because although though while so if when whether since after before until into
     que se es son fue ha han ser está están era como más no si cuando pero aunque mientras sin sobre desde hasta este esta lo le les su sus
     est sont a ont été était sera ne pas plus qui dont ce cette ces il elle ils elles nous vous même si mais tandis selon par dans leur leurs
-    ist sind war waren wird werden hat haben wurde wurden dass sich nicht auch wie als sie er es wir ihr doch obwohl während sodass bei gegenüber fest
-    zurück um von laut nach zum zur der die das den dem ein eine el la los las un una por le les du des au aux une cent pour l d""".split()
+    ist sind war waren wird werden hat haben wurde wurden dass sich nicht auch wie als sie er es wir ihr doch obwohl während sodass bei gegenüber
+    um von nach zum zur der die das den dem ein eine el la los las un una por le les du des au aux une cent pour l d""".split()
 )
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\"'>\]]+")
 _SEGMENT = re.compile(r"(?<=[\w)\]\"'’”%\u0002][.!?])\s+(?=\S)|\s[|–-]\s")
@@ -69,7 +65,7 @@ _SEPARATORS = "[]()*>|;,#•"
 
 
 def describe(text: str | None) -> tuple | None:
-    """(sentences, function_words, links, repetition, entropy, separators, spam_share, tokens) of a text; None without tokens."""
+    """The ``FEATURES`` of a text in order; None without tokens."""
     if not text or not text.strip():
         return None
     urls = _URL.findall(text) if "://" in text or "www." in text else ()
@@ -126,14 +122,12 @@ def describe(text: str | None) -> tuple | None:
         1 - len(set(zip(words, words[1:]))) / (total - 1) if total > 1 else 0.0,
         entropy / math.log(total) if total > 1 else 1.0,
         min(sum(map(plain.count, _SEPARATORS)) / n, 1.0),
-        1 - (sentence + neutral) / n,
-        n,
     )
 
 
 def features(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, language, features, spam_share, tokens): one pass over the texts."""
-    names = [*FEATURES, "spam_share", "tokens"]
+    """(id, language, features): one pass over the texts."""
+    names = list(FEATURES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -152,64 +146,65 @@ def features(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
 
 
 def _statistics(found: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per language (and '' for all): centre, scale and inverse correlation. One row a language reaches the driver."""
+    """Per language (and '' for all): centre, scale and inverse correlation, drawn towards those of all documents."""
     names = list(FEATURES)
     usable = found.where(F.col("sentences").isNotNull())
     both = usable.unionByName(usable.withColumn("language", F.lit("")))
-    middles = both.groupBy("language").agg(F.count("*").alias("n"), *[F.percentile_approx(n, 0.5, 1000).alias(n) for n in names])
-    kept = [r for r in middles.collect() if r["n"] >= MIN_LANGUAGE or r["language"] == ""]
-    if not kept:
+    middles = {r["language"]: r for r in both.groupBy("language").agg(F.count("*").alias("n"), *[F.percentile_approx(n, 0.5, 1000).alias(n) for n in names]).collect()}
+    if not middles:
         return {}
-    centre = {r["language"]: np.array([r[n] for n in names], float) for r in kept}
-
-    def around(name: str, k: int):
-        known = F.create_map(*[x for lang, c in centre.items() for x in (F.lit(lang), F.lit(float(c[k])))])
-        return F.col(name) - known[F.col("language")]
 
-    both = both.where(F.col("language").isin(list(centre)))
-    spread = both.groupBy("language").agg(*[F.percentile_approx(F.abs(around(n, k)), 0.5, 1000).alias(n) for k, n in enumerate(names)])
-    scale = {r["language"]: np.maximum(1.4826 * np.array([r[n] for n in names], float), list(FEATURES.values())) for r in spread.collect()}
+    def drawn(values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        return {k: (middles[k]["n"] * v + PRIOR * values[""]) / (middles[k]["n"] + PRIOR) for k, v in values.items()}
 
-    def score(name: str, k: int):
-        known = F.create_map(*[x for lang, c in scale.items() for x in (F.lit(lang), F.lit(float(c[k])))])
-        return F.least(F.greatest(around(name, k) / known[F.col("language")], F.lit(-2.5)), F.lit(2.5))
+    def lookup(values: dict[str, np.ndarray], k: int):
+        return F.create_map(*[x for lang, v in values.items() for x in (F.lit(lang), F.lit(float(v[k])))])[F.col("language")]
 
-    scored = both.select("language", *[score(n, k).alias(n) for k, n in enumerate(names)])
+    centre = drawn({lang: np.array([r[n] for n in names], float) for lang, r in middles.items()})
+    around = {n: F.col(n) - lookup(centre, k) for k, n in enumerate(names)}
+    spread = both.groupBy("language").agg(*[F.percentile_approx(F.abs(a), 0.5, 1000).alias(n) for n, a in around.items()])
+    scale = drawn({r["language"]: 1.4826 * np.array([r[n] for n in names], float) for r in spread.collect()})
+    scale = {lang: np.maximum(v, list(FEATURES.values())) for lang, v in scale.items()}
+    scored = both.select("language", *[F.least(F.greatest(a / lookup(scale, k), F.lit(-2.5)), F.lit(2.5)).alias(n) for k, (n, a) in enumerate(around.items())])
     products = [F.avg(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
-    out = {}
+    moments = {}
     for r in scored.groupBy("language").agg(*products).collect():
-        m = np.array([[r[f"{names[min(i, j)]}_{names[max(i, j)]}"] for j in range(len(names))] for i in range(len(names))], float)
+        moments[r["language"]] = np.array([[r[f"{names[min(i, j)]}_{names[max(i, j)]}"] for j in range(len(names))] for i in range(len(names))], float)
+    out = {}
+    for lang, m in drawn(moments).items():
         d = np.sqrt(np.maximum(np.diag(m), 1e-6))
-        correlation = m / np.outer(d, d)
-        out[r["language"]] = (centre[r["language"]], scale[r["language"]], np.linalg.inv(0.8 * correlation + 0.2 * np.eye(len(names))))
+        out[lang] = (centre[lang], scale[lang], np.linalg.inv(0.8 * m / np.outer(d, d) + 0.2 * np.eye(len(names))))
     return out
 
 
 def spam_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, distance2, towards, spam_share, spam) of each document; see the module's text."""
+    """(id, distance2, direction, cosine, spam) of each document; see the module's text."""
+    ship(df.sparkSession)
     found = cut(features(df, id_col, text_col, lang_col))
     known = df.sparkSession.sparkContext.broadcast(_statistics(found))
-    names, signs = list(FEATURES), np.array([TOWARDS[n] for n in FEATURES], float)
+    names, titles, towards = list(FEATURES), np.array(list(DIRECTIONS), object), np.array(list(DIRECTIONS.values()), float)
+    far, near = DISTANCE2, COSINE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            distance, towards, visible = (np.full(len(b), np.nan) for _ in range(3))
-            for language, at in b.groupby("language").indices.items():
-                stats = known.value.get(language) or known.value.get("")
-                if stats is None:
-                    continue
-                centre, scale, inverse = stats
-                z = (b[names].to_numpy(float)[at] - centre) / scale
+            distance, cosine = np.full(len(b), np.nan), np.full(len(b), np.nan)
+            direction = np.full(len(b), None, object)
+            values = b[names].to_numpy(float)
+            usable = ~np.isnan(values).any(1)
+            for language, at in b[usable].groupby("language").groups.items():
+                at = b.index.get_indexer(at)
+                centre, scale, inverse = known.value[language]
+                z = (values[at] - centre) / scale
                 distance[at] = np.einsum("ij,jk,ik->i", z, inverse, z)
-                towards[at] = z @ signs
-                visible[at] = z[:, SHOWN] @ signs[SHOWN]
-            share = b["spam_share"].to_numpy(float)
+                lengths = np.sqrt(np.einsum("ij,jk,ik->i", towards, inverse, towards))
+                angles = z @ inverse @ towards.T / np.sqrt(np.maximum(distance[at], 1e-12))[:, None] / lengths
+                cosine[at], direction[at] = angles.max(1), titles[angles.argmax(1)]
             with np.errstate(invalid="ignore"):
-                spam = (distance > DISTANCE2) & (towards > 0) & ((visible > LEAST_SHOWN) | (b["tokens"].to_numpy(float) >= FEW)) & (share >= np.where(b["tokens"].to_numpy(float) >= LONG, SPAM_SHARE, SHORT_SHARE))
-            yield pd.DataFrame({"id": b["id"], "distance2": distance, "towards": towards, "spam_share": share, "spam": spam})
+                spam = (distance > far) & (cosine >= near)
+            yield pd.DataFrame({"id": b["id"], "distance2": distance, "direction": direction, "cosine": cosine, "spam": spam})
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = found.mapInPandas(run, f"id {kind}, distance2 double, towards double, spam_share double, spam boolean")
+    out = found.mapInPandas(run, f"id {kind}, distance2 double, direction string, cosine double, spam boolean")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -91,7 +91,7 @@ def test_rolling_captions_are_cut(spark):
     assert [(r["turn_no"], r["who"], r["text"]) for r in rows] == [(1, "day", "one two three four five six seven"), (2, "question", "Why?")]
 
 
-def test_spam_by_language_and_direction(spark):
+def test_spam_by_language_and_direction(spark, monkeypatch):
     rng = random.Random(3)
     nouns = ["prices", "wages", "output", "credit", "orders", "jobs"]
     rows = [(i, "".join(f"The committee judged that {rng.choice(nouns)} had moved {rng.choice(['up', 'down'])} by {rng.randint(1, 9)} percent in {rng.choice(['May', 'June'])}. " for _ in range(12)), "en") for i in range(80)]
@@ -107,6 +107,12 @@ def test_spam_by_language_and_direction(spark):
     df = frame(spark, rows + bad + good, "id long, text string, lang string").withColumn("spam", F.lit("clash"))
     assert sorted(r["id"] for r in spam.spam_documents(df, "id", "text", "lang").collect()) == [900, 901, 902, 903]
     assert spam.spam_documents(df.where("false"), "id", "text", "lang").count() == 0
+    scores = {r["id"]: r for r in spam.spam_scores(df, "id", "text", "lang").collect()}
+    assert scores[901]["direction"] == "links" and scores[801]["distance2"] is None and len(scores) == len(rows + bad + good)
+    monkeypatch.setattr(spam, "COSINE", -1.0)  # without direction, titles and tables are outliers too
+    assert {r["id"] for r in spam.spam_documents(df, "id", "text", "lang").collect()} > {900, 901, 902, 903}
+    monkeypatch.setattr(spam, "DISTANCE2", 1e9)
+    assert spam.spam_documents(df, "id", "text", "lang").count() == 0
 
 
 @pytest.fixture(scope="module")

@@ -42,7 +42,7 @@ WORDS_A_LINK = 25
 #: Least scale of each feature, so that a constant feature is not divided by zero.
 FEATURES = {"sentences": 0.05, "function_words": 0.04, "links": 0.02, "repetition": 0.08, "entropy": 0.05, "separators": 0.03}
 #: Spam-directed directions in scaled deviations of the ``FEATURES``, in their order.
-DIRECTIONS = {"keywords": (-4, -2, 0, 1, -1, 0), "links": (-4, -2, 2, 0, 0, 1), "tags": (-4, -2, 0, 0, 0, 2)}
+DIRECTIONS = {"keywords": (-4, -2, 0, 1, -1, 0), "links": (-2, -1, 3, 1, -1, 2), "tags": (-4, -2, 0, 0, 0, 2)}
 
 #: Words that make a stretch a sentence: auxiliaries, pronouns, conjunctions of four languages; fixed values.
 BINDING = frozenset(
@@ -81,11 +81,12 @@ def describe(text: str | None) -> tuple | None:
             words += own
             neutral += len(own)
             continue
-        if at == 0 and len(rows) > 1 and size <= 14 and not links and "," not in line and line.rstrip()[-1:] not in (".", "|", ""):
+        if at == 0 and size <= 14 and not links and "," not in line and line.rstrip()[-1:] not in (".", "|", ""):
             own = _WORD.findall(line.lower())
-            words += own
-            neutral += len(own)  # a title
-            continue
+            if len(rows) > 1 or ("#" not in line and len(set(own)) == len(own)):
+                words += own
+                neutral += len(own)  # a title
+                continue
         if ", " in line and (listed := _NAMES.match(line)):
             own = _WORD.findall(listed[0].lower())
             words += own

@@ -3,7 +3,8 @@
 Every distinct name is parsed (titles, degrees, quoted nicknames, order, case, accents and legal forms
 resolved) and rewritten into all canonical forms its nickname, initial, order and one-letter deletions
 allow. Forms are exploded and equi-joined; a pair is scored by how rare its shared forms are and kept
-only if an exact check of the parts agrees. Full names, linked first, make the entities; a name with an
+only if an exact check of the parts agrees; of pairs a typing error apart, only those that no pair of either of
+their names outscores by far, so that a name between two others joins the one it shares the rarer rewritings with. Full names, linked first, make the entities; a name with an
 initial, a shortened given name or no given name joins the one entity it fits and stays alone where
 several different ones fit.
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.runtime import cut
+from plumbline.runtime import cut, ship
 
 #: Nicknames and the given names they stand for.
 NICKNAMES = """
@@ -50,8 +51,9 @@ LEGAL = {
     "natl": "national", "intl": "international", "univ": "university", "stud": "studies",
 }
 ORG_WORDS = frozenset("bank committee institute board reserve monetary studies authority association council fund department corporation company university".split())
-#: Two names one edit apart are a typing error only if one of them has at most this many spellings.
-TYPO_SUPPORT = 2
+#: Two names an edit apart are a typing error if their score is this share of the best score of one of them.
+BEST_SHARE = 0.2
+SALTS = 8
 _OF = frozenset("of for the and de du la".split())
 _QUOTED = re.compile(r"[\"“”']([^\"“”']+)[\"“”']")
 
@@ -205,22 +207,22 @@ def _links(nodes: DataFrame) -> DataFrame:
         for b in batches:
             rows = [
                 (form, cost, *r)
-                for r in b[["node", "kind", "given", "family", "free", "support"]].itertuples(index=False, name=None)
-                for form, cost in rewritings(r[1], r[2], r[3], r[4]).items()
+                for r in b[["node", "kind", "given", "family", "free"]].itertuples(index=False, name=None)
+                for form, cost in rewritings(*r[1:]).items()
             ]
-            yield pd.DataFrame(rows, columns=["form", "cost", "node", "kind", "given", "family", "free", "support"])
+            yield pd.DataFrame(rows, columns=["form", "cost", "node", "kind", "given", "family", "free"])
 
-    fields = "node string, kind string, given string, family string, free boolean, support long"
-    forms = nodes.select("node", "kind", "given", "family", "free", "support").mapInPandas(rewrite, f"form string, cost int, {fields}")
+    fields = "node string, kind string, given string, family string, free boolean"
+    forms = nodes.select("node", "kind", "given", "family", "free").mapInPandas(rewrite, f"form string, cost int, {fields}")
     forms = cut(forms.repartition("form"))
     shared = forms.groupBy("form").agg(F.count("*").alias("df")).where("df > 1")
     kept = forms.join(shared, "form")
-    sides = [kept.select("form", "df", *[F.col(c).alias(f"{c}_{s}") for c in ("cost", "node", "kind", "given", "family", "free", "support")]) for s in "ab"]
+    sides = [kept.select("form", "df", *[F.col(c).alias(f"{c}_{s}") for c in ("cost", "node", "kind", "given", "family", "free")]) for s in "ab"]
     pairs = (
         sides[0]
         .join(sides[1].drop("df"), "form")
         .where("node_a < node_b")
-        .groupBy("node_a", "node_b", *[f"{c}_{s}" for s in "ab" for c in ("kind", "given", "family", "free", "support")])
+        .groupBy("node_a", "node_b", *[f"{c}_{s}" for s in "ab" for c in ("kind", "given", "family", "free")])
         .agg(F.sum(F.pow(F.lit(0.5), F.col("cost_a") + F.col("cost_b")) / F.col("df")).alias("score"))
     )
 
@@ -229,20 +231,28 @@ def _links(nodes: DataFrame) -> DataFrame:
             out = []
             for r in b.itertuples(index=False):
                 how = agree((r.kind_a, r.given_a, r.family_a, r.free_a), (r.kind_b, r.given_b, r.family_b, r.free_b))
-                if how == 1 or (how == 2 and min(r.support_a, r.support_b) <= TYPO_SUPPORT):
-                    out.append((r.node_a, r.node_b, r.score))
-            yield pd.DataFrame(out, columns=["a", "b", "score"])
+                if how:
+                    out.append((r.node_a, r.node_b, r.score, how == 2))
+            yield pd.DataFrame(out, columns=["a", "b", "score", "typed"])
 
-    return pairs.mapInPandas(check, "a string, b string, score double")
+    judged = cut(pairs.mapInPandas(check, "a string, b string, score double, typed boolean"))
+    ends = judged.select(F.explode(F.array("a", "b")).alias("node"), "score")
+    best = ends.groupBy("node").agg(F.max("score").alias("best"))
+    rated = judged
+    for side in "ab":
+        rated = rated.join(best.select(F.col("node").alias(side), F.col("best").alias(f"best_{side}")), side)
+    return rated.where(~F.col("typed") | (F.col("score") >= BEST_SHARE * F.least("best_a", "best_b"))).select("a", "b", "score")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, entity): connected components by least label, the lineage cut after every round."""
+    """(node, entity): connected components by least label and label of the label, the lineage cut after every round."""
     both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))))
     linked = cut(both.select("node").distinct().withColumn("entity", F.col("node")))
     while True:
         heard = both.join(linked.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("entity").alias("heard"))
-        step = cut(linked.join(heard, "node").select("node", F.least("entity", "heard").alias("entity"), (F.col("heard") < F.col("entity")).alias("moved")))
+        step = linked.join(heard, "node").select("node", F.least("entity", "heard").alias("near"), "entity")
+        onward = linked.select(F.col("node").alias("near"), F.col("entity").alias("far"))
+        step = cut(step.join(onward, "near").select("node", F.least("near", "far").alias("entity"), (F.least("near", "far") < F.col("entity")).alias("moved")))
         linked = step.select("node", "entity")
         if step.where("moved").isEmpty():
             break
@@ -250,24 +260,23 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _attach(mentions: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
-    """(name, entity, fits): the one entity each mention fits by ``keys``, then by middle initial, then by title."""
+    """(name, entity): the one entity each mention fits by ``keys``, then by middle initial, then by title."""
     wanted = mentions.select("name", "middle", "title", *keys)
     fit = wanted.join(entities.select("entity", "middles", "titles", *keys).distinct(), keys)
-    judged = fit.groupBy("name").agg(
-        F.collect_set("entity").alias("all"),
-        F.collect_set(F.when((F.col("middle") != "") & F.array_contains("middles", F.col("middle")), F.col("entity"))).alias("by_middle"),
-        F.collect_set(F.when((F.col("title") != "") & F.array_contains("titles", F.col("title")), F.col("entity"))).alias("by_title"),
-    )
-    one = lambda c: F.when(F.size(c) == 1, F.col(c)[0])
-    return judged.select("name", F.coalesce(one("all"), one("by_middle"), one("by_title")).alias("entity"), F.size("all").alias("fits"))
+    marked = {"middle": F.array_contains("middles", F.col("middle")), "title": F.array_contains("titles", F.col("title"))}
+    kinds = {"all": F.col("entity"), **{k: F.when((F.col(k) != "") & held, F.col("entity")) for k, held in marked.items()}}
+    judged = fit.groupBy("name").agg(*[end(c).alias(f"{k}_{end.__name__}") for k, c in kinds.items() for end in (F.min, F.max)])
+    one = [F.when(F.col(f"{k}_min") == F.col(f"{k}_max"), F.col(f"{k}_min")) for k in kinds]
+    return judged.select("name", F.coalesce(*one).alias("entity"))
 
 
 def name_entities(df: DataFrame, name_col: str = "participant") -> DataFrame:
     """(name, entity): every distinct stored name that names somebody, with the id of whom it names."""
+    ship(df.sparkSession)
     parsed = cut(_parsed(df, name_col))
     whole = parsed.where("kind in ('full', 'org')").withColumn("node", F.concat_ws("|", "kind", "given", "family"))
     nodes = cut(
-        whole.groupBy("node", "kind", "given", "family").agg(F.count("*").alias("support"), F.max("free").alias("free"))
+        whole.groupBy("node", "kind", "given", "family").agg(F.max("free").alias("free"))
     )
     groups = components(nodes, _links(nodes))
     known = cut(whole.join(groups, "node").select("name", "kind", "given", "middle", "title", "family", "entity"))
@@ -318,5 +327,6 @@ def _mistyped(mentions: DataFrame, forms: DataFrame, keys: list[str]) -> DataFra
 def name_pairs(df: DataFrame, name_col: str = "participant") -> DataFrame:
     """(name_a, name_b): all pairs of different stored names of one entity, name_a before name_b in code point order."""
     names = cut(name_entities(df, name_col))
-    a, b = (names.select("entity", F.col("name").alias(f"name_{s}")) for s in "ab")
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+    left = names.select("entity", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int").alias("salt"))
+    right = names.select("entity", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return left.join(right, ["entity", "salt"]).where("name_a < name_b").select("name_a", "name_b")

@@ -64,6 +64,14 @@ def test_variants_of_one_name_are_linked_and_others_are_not(spark):
     assert names.name_pairs(df.where("false")).count() == 0
 
 
+def test_a_misspelt_name_keeps_its_links_however_many_spellings_it_has(spark):
+    styles = ("Andrew {}", "ANDREW {}", "{}, Andrew", "{} Andrew", "Dr. Andrew {}", "Andy {}", "President Andrew {}")
+    for k in (2, 3, 7):
+        spellings = [s.format(family) for family in ("Kordra", "Korrdra") for s in styles[:k]]
+        df = spark.createDataFrame([(n,) for n in spellings], "participant string")
+        assert {tuple(r) for r in names.name_pairs(df).collect()} == {tuple(sorted(p)) for p in combinations(spellings, 2)}
+
+
 def _pages(rng):
     words = [f"word{i}" for i in range(400)]
     rows = []

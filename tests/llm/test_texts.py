@@ -47,6 +47,29 @@ def test_residue_is_found_and_mentions_are_not(spark):
     assert residue.residue_records(df.where("false"), "id", "text").count() == 0
 
 
+#: Wordings that neither the seeds nor the tables hold.
+UNSEEN = [
+    "The web address you entered is not a functioning page on our site. Please return to the home page.", "This content is currently unavailable. Please try again in a few minutes.",
+    "We could not find the page you were looking for. It may have been moved or removed.", "HTTP Error 404. The requested resource is not found.",
+    "Our servers are undergoing scheduled maintenance. We will be back soon.", "You do not have the permission required to view this document. Please log in.",
+    "Please turn on JavaScript in your browser settings and reload this page.", "Scripts are disabled in your browser. Enable scripts to continue.",
+    "The service is temporarily unavailable due to maintenance. Please try again later.", "Your session has timed out. Please log in again to continue.",
+    "An internal server error occurred while processing the request.", "Access to this resource is forbidden on this server.",
+    "Lorem ipsum dolor sit amet, sed do tempor labore. Ut enim nostrud laboris ex commodo consequat.", "Insert your text here. Insert your text here.",
+    "This is placeholder text. Replace this text with your own text.", "The connection to the server timed out. Please reload the page.",
+]
+
+
+def test_unseen_wordings_of_residue_are_found():
+    rng = random.Random(4)
+    nouns, verbs = ["Prices", "Wages", "Exports", "Orders", "Loans", "Rents"], ["rose again", "fell back", "were little changed", "moved lower", "held up well"]
+    prose = [" ".join(f"{rng.choice(nouns)} {rng.choice(verbs)} in the {rng.choice(['first', 'second'])} quarter, and {PROSE.lower()}" for _ in range(4)) for _ in range(200)]
+    models = residue.Models(prose)
+    found = residue.judge(models, UNSEEN)["residue"]
+    assert found.mean() >= 0.85, [t for t, f in zip(UNSEEN, found) if not f]
+    assert not residue.judge(models, prose + [f"{PROSE * 3}{t}" for t in UNSEEN])["residue"].any()
+
+
 def test_residue_scores_long_texts_whole():
     models = residue.Models([PROSE * 4] * 50)
     long = PROSE * 20_000 + "{{title}}"

@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_statistics(table(spark, sf_dir, "fomc", "fomc_id", "text_content"))
+    return quality.quality_statistics(table(spark, sf_dir, "fomc", "fomc_id", "text_content", "quality_score"), score_col="quality_score")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Per-document statistics that tell prose from lists, tables, forms, code and junk.
 
 Layout evidence (vertical alignment of delimiters, periodicity of markers and indentation,
-autocorrelation of line lengths) finds the blocks of lines that are rows. Rows are no sentences: a text
-is prose if the sentences outside its rows hold half of it, unless rows are half of its lines and more
-than its sentences. Word, symbol and punctuation ratios are reported beside.
+autocorrelation of line lengths) finds the blocks of lines that are rows; rows are no sentences. A text is prose if
+the weighted sum ``WEIGHTS`` of the share of the text in sentences outside rows, common words, rows, digits, symbols
+and broken words is not negative.
 
 Defined results: a null or blank text has zero words, null ratios and ``kind`` = 'empty', so it is
-never found; repeated rows give repeated rows; an empty table gives an empty result; columns other
+never found; a stored quality score that is null or off the scale of 0 to 1 is given as null; repeated rows give
+repeated rows; an empty table gives an empty result; columns other
 than the id and the text are ignored, whatever their names. Texts are read whole, however long.
 """
 
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.runtime import ship
+
 from . import residue
 
 #: Function words of the four languages of the corpora; fixed values.
@@ -38,8 +41,12 @@ _CLOSED = re.compile(r"[\w%)\]\"'”’>*][.!?]+[\"'”’)\]*>]*$|\.\.\.$")
 _NUMERIC = re.compile(r"[\d.,;:|/%+\-–()$€]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _DELIMITERS = ("|", "\t", ";", ",", " .. ", "   ", ": ", " - ", " – ")
-#: Sentences of a text must hold this share of it, else it is not prose.
-PROSE_SHARE = 0.5
+#: Weights of the evidence for prose: sentences and common words beyond a usual least share, against the share of
+#: lines that are rows, the digits, the symbols, and words too short on average to be a language's.
+WEIGHTS = {"sentences": 4.0, "common": 2.0, "rows": -2.0, "digits": -2.0, "symbols": -2.0, "broken": -2.0}
+PROSE_SHARE, COMMON_SHARE, WORD_LENGTH = 0.5, 0.2, 2.8
+#: Beyond this share of common words their evidence grows no more.
+COMMON_MOST = 0.4
 #: Rows of a block: at least so many in turn; by commas or by period alone only with so few words a cell or row.
 BLOCK_ROWS, CELL_WORDS = 3, 4
 #: Indentation period or autocorrelation of line lengths from which short rows are periodic.
@@ -47,7 +54,7 @@ PERIODIC = 0.3
 
 FIELDS = (
     "n_words int, mean_word_length double, symbol_ratio double, digit_ratio double, closed_line_share double, common_word_share double, "
-    "delimiter_alignment double, marker_share double, indent_period double, length_autocorrelation double, sentence_share double, kind string"
+    "delimiter_alignment double, marker_share double, indent_period double, length_autocorrelation double, row_share double, sentence_share double, prose_score double, kind string"
 )
 
 
@@ -141,7 +148,7 @@ def _sentences(text: str) -> tuple[int, int]:
 def describe(text: str | None) -> tuple:
     """The statistics of one text, in the order of ``FIELDS``."""
     if text is None or not text.strip():
-        return (0, None, None, None, None, None, None, None, None, None, None, "empty")
+        return (0, *[None] * 12, "empty")
     text = text.strip().replace("\r", "")
     lines = [x for x in text.split("\n") if x.strip()]
     size = len(text) - text.count(" ") - text.count("\n")
@@ -158,7 +165,13 @@ def describe(text: str | None) -> tuple:
         spoken, held = _sentences(text)
     share = held / max(size, 1)
     align, marked, period, auto = _layout(lines)
-    if share >= PROSE_SHARE and letters >= 2.8 * len(words) and not (2 * len(rows) >= len(lines) and len(rows) > spoken):
+    symbols = 1 - (letters + digits) / max(size, 1)
+    evidence = {
+        "sentences": share - PROSE_SHARE, "common": min(common, COMMON_MOST) - COMMON_SHARE, "rows": len(rows) / len(lines), "digits": digits / max(size, 1),
+        "symbols": symbols, "broken": float(letters < WORD_LENGTH * len(words)),
+    }
+    score = sum(w * evidence[k] for k, w in WEIGHTS.items())
+    if score >= 0:
         kind = "prose"
     elif align >= 0.5:
         kind = "table"
@@ -166,25 +179,28 @@ def describe(text: str | None) -> tuple:
         kind = "list"
     else:
         kind = "junk"
-    symbols = 1 - (letters + digits) / max(size, 1)
     closed = sum(1 for x in lines if x.rstrip()[-1] in ".!?:\"”") / len(lines)
     return (
-        len(words), letters / max(len(words), 1), symbols, digits / max(size, 1), closed, common, align, marked, period, auto, share, kind
+        len(words), letters / max(len(words), 1), symbols, digits / max(size, 1), closed, common, align, marked, period, auto, len(rows) / len(lines), share, score, kind
     )
 
 
-def quality_statistics(df: DataFrame, id_col: str = "fomc_id", text_col: str = "text_content") -> DataFrame:
-    """(id, statistics of ``FIELDS``) of each row; ``kind`` is prose, table, list, junk or empty."""
+def quality_statistics(df: DataFrame, id_col: str = "fomc_id", text_col: str = "text_content", score_col: str | None = None) -> DataFrame:
+    """(id, stored_score, statistics of ``FIELDS``) of each row; ``kind`` is prose, table, list, junk or empty."""
+    ship(df.sparkSession)
     names = [x.split()[0] for x in FIELDS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = pd.DataFrame([describe(t) for t in b["text"]], columns=names)
+            out.insert(0, "stored_score", b["stored"].to_numpy())
             out.insert(0, "id", b["id"].to_numpy())
             yield out
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, f"id {kind}, {FIELDS}")
+    stored = F.col(score_col).cast("double") if score_col else F.lit(None).cast("double")
+    stored = F.when(stored.between(0, 1), stored).alias("stored")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), stored).mapInPandas(run, f"id {kind}, stored_score double, {FIELDS}")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -27,7 +27,8 @@ def frame(spark, rows, schema="id long, text string"):
 
 def test_statistics_tell_prose_from_the_rest(spark):
     df = frame(spark, KINDS).withColumns({"kind": F.lit("clash"), "n_words": F.lit(-1)})
-    got = {r["id"]: r for r in quality.quality_statistics(df, "id", "text").collect()}
+    got = {r["id"]: r for r in quality.quality_statistics(df.withColumn("score", F.when(F.col("id") > 2, 0.5).otherwise(90.0)), "id", "text", "score").collect()}
+    assert got[1]["stored_score"] is None and got[3]["stored_score"] == 0.5
     assert {i for i, r in got.items() if r["kind"] == "prose"} == {1, 7, 10} and got[5]["kind"] == got[6]["kind"] == "empty"
     assert got[2]["kind"] == "table" and got[3]["kind"] == "list" and got[5]["mean_word_length"] is None
     assert sorted(r["id"] for r in quality.not_prose(df, "id", "text").collect()) == [2, 3, 4, 8, 9, 11]
@@ -185,6 +186,7 @@ def test_mixture_meets_shares_and_caps(spark):
     assert empty.count() == 0 and none.collect()[0]["falls_short"] and np.isfinite(none.collect()[0]["actual_share"])
 
 
+STATISTICS = [x.split()[0] for x in quality.FIELDS.split(", ")]
 LEAD = "The committee judged that risks had become more even, although it was too early to say whether the pause would last at all. "
 TABULAR = [
     LEAD * 2 + "\nItem | A | B\n" + "\n".join(f"Row {i} | {i}.5 | {i * 3}" for i in range(9)) + "\n" + LEAD, LEAD * 2 + "\n" + "\n".join(f"Item {i}, {i}.5, {i * 3}" for i in range(12)),
@@ -195,7 +197,13 @@ WRAPPED = "The bank, the board, and\nthe staff, in May, and\nin June, as before,
 
 @pytest.mark.parametrize("text", TABULAR)
 def test_lead_sentences_do_not_make_rows_prose(text):
-    assert quality.describe(text)[-2] >= quality.PROSE_SHARE and quality.describe(text)[-1] != "prose"
+    found = dict(zip(STATISTICS, quality.describe(text)))
+    assert found["sentence_share"] >= quality.PROSE_SHARE and found["kind"] != "prose" and found["row_share"] >= 0.5
+
+
+def test_layout_decides(monkeypatch):
+    monkeypatch.setattr(quality, "_rows", lambda lines: set())
+    assert sum(quality.describe(t)[-1] != "prose" for t in TABULAR) <= 2
 
 
 @pytest.mark.parametrize("text", [WRAPPED * 3, (WRAPPED * 3).upper(), LEAD * 8 + "\nItem | A | B\nRow | 1 | 2\nRow | 3 | 4", "\n".join(f"- {LEAD}" for _ in range(5))])

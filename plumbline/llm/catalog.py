@@ -65,7 +65,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns.speaker_turns(table(spark, sf_dir, "fomc", "fomc_id", "text_content", "speaker"))
+    return turns.speaker_turns(table(spark, sf_dir, "fomc", "fomc_id", "text_content", "speaker"), pauses=True)
 
 
 def _site():

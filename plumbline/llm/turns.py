@@ -1,15 +1,18 @@
 """Speech transcripts into clean, ordered speaker turns.
 
-Each text is cut into labelled stretches; where every stretch has a stamp, a sweep over the stamps
-orders them. Stretches left with nothing but fillers and sound notes are dropped, captions that roll
-over (a suffix of one stretch repeated as the prefix of the next) are cut, and adjacent stretches of
-one person become one turn. With ``pause_s`` set, a silence longer than it also ends a turn.
+Each text is cut into labelled stretches, and these at their cues into timed segments; where every stretch has a
+stamp, a sweep over the segments' starts and ends orders them and measures the silence before each. Segments left
+with nothing but fillers and sound notes are dropped, captions that roll over (a suffix of one segment repeated as
+the prefix of the next, of any length) are cut, and adjacent segments of one person become one turn. With
+``pauses``, a silence far longer than the silences of that transcript also ends a turn: longer than their median by
+``PAUSE_DEVIATIONS`` scaled median absolute deviations and by ``PAUSE_LEAST`` seconds. Where cues give no end, it is
+the start plus the transcript's own time a word.
 
 Defined results: null, blank and unlabelled texts give no turn; a label that is only a role stands for
 the given speaker, or, where that is null or names nobody, for the person labelled most often with a
 role, or else for the role itself; repeated rows give repeated turns; equal stamps keep text order; an
 empty table gives an empty result; columns other than id, text and speaker are ignored. Texts of any
-length are read whole.
+length are read whole, in time linear in their length.
 """
 
 from __future__ import annotations
@@ -17,11 +20,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.runtime import ship
+
+#: A silence ends a turn beyond so many scaled deviations from a transcript's median silence, and so many seconds.
+PAUSE_DEVIATIONS, PAUSE_LEAST = 5.0, 2.0
+#: Words that must repeat for a caption to have rolled over.
+ROLLED_WORDS = 4
 #: Words that are a role, words for the moderator and for unnamed questioners, fillers.
 ROLES = frozenset(
     "the chair chairman chairwoman chairperson governor president vice deputy member board director secretary mr ms mrs dr prof sir "
@@ -87,8 +97,8 @@ def _speaks(text: str) -> bool:
     return any(w.lower() not in FILLERS for w in _WORD.findall(_NOTE.sub(" ", text)))
 
 
-def _stretches(text: str) -> list[list]:
-    """[kind, name, stamp, text] of each labelled stretch in text order, or nothing if the text is no transcript."""
+def _stretches(text: str) -> list[list[list]]:
+    """The labelled stretches in text order, each a list of segments [kind, name, start, end, text]; none if the text is no transcript."""
     lines = [x.rstrip("\r").strip() for x in text.split("\n")]
     best, most = None, 0
     for name, form in _FORMS.items():
@@ -103,69 +113,105 @@ def _stretches(text: str) -> list[list]:
             best, most = name, strong
     if best is None:
         return []
-    form, out, cue = _FORMS[best], [], None
+    form, cue = _FORMS[best], (None, None)
+    out: list[list[list]] = []
+    held: list[list[str]] = []
     for line in lines:
         c = _CUE.match(line)
         if c:
-            cue = _seconds(c[1])
+            cue = (_seconds(c[1]), _seconds(c[2]))
             continue
         m = form.match(line)
-        if m:
-            kind, who = _kind(m["label"])
-            if who not in FILLERS:
-                found = m.groupdict()
-                at = _seconds(found.get("stamp") or found.get("late"))
-                out.append([kind, who, at if at is not None else cue, found.get("rest") or ""])
-                cue = None
-                continue
-        if out and line:
-            out[-1][3] = f"{out[-1][3]}\n{line}" if out[-1][3] else line
+        kind, who = _kind(m["label"]) if m else ("", "")
+        if m and who not in FILLERS:
+            found = m.groupdict()
+            at = _seconds(found.get("stamp") or found.get("late"))
+            start, end = (at, None) if at is not None else cue
+            held.append([found.get("rest") or ""])
+            out.append([[kind, who, start, end, held[-1]]])
+            cue = (None, None)
+        elif out and line:
+            if cue[0] is not None:
+                held.append([])
+                out[-1].append([*out[-1][-1][:2], *cue, held[-1]])
+                cue = (None, None)
+            held[-1].append(line)
+    return [[[kind, who, start, end, "\n".join(x for x in own if x)] for kind, who, start, end, own in stretch] for stretch in out]
+
+
+def overlap(before: list[str], after: list[str]) -> int:
+    """Length of the longest suffix of ``before`` that is a prefix of ``after``, in time linear in ``after``."""
+    if not after:
+        return 0
+    joined = [*after, None, *before[-len(after) :]]
+    border = [0] * len(joined)
+    for i in range(1, len(joined)):
+        k = border[i - 1]
+        while k and joined[i] != joined[k]:
+            k = border[k - 1]
+        border[i] = k + (joined[i] == joined[k])
+    return border[-1] if len(joined) > len(after) + 1 else 0
+
+
+def _swept(segments: list[list]) -> list[list]:
+    """Segments in the order of their starts, each with the silence since all earlier ones ended."""
+    timed = sorted(segments, key=lambda x: x[2])
+    steps = [(b[2] - a[2]) / n for a, b in zip(timed, timed[1:]) if (n := a[4].count(" ") + 1) and b[2] > a[2]]
+    pace = median(steps) if steps else 0.0
+    out, reached = [], None
+    for kind, who, start, end, said in timed:
+        silence = 0.0 if reached is None else max(start - reached, 0.0)
+        out.append([kind, who, start, silence, said])
+        stop = end if end is not None and end >= start else start + pace * (said.count(" ") + 1)
+        reached = stop if reached is None else max(reached, stop)
     return out
 
 
-def _rolled(before: str, after: str, least: int = 4) -> str:
-    """``after`` without a prefix of ``least`` words or more that repeats the end of ``before``."""
-    a, b = before.split(), after.split()
-    for n in range(min(len(a), len(b), 60), least - 1, -1):
-        if a[-n:] == b[:n]:
-            return " ".join(b[n:])
-    return after
+def _longest_usual(silences: list[float]) -> float:
+    middle = median(silences)
+    return max(middle + PAUSE_DEVIATIONS * 1.4826 * median(abs(x - middle) for x in silences), PAUSE_LEAST)
 
 
-def turns_of(text: str | None, speaker: str | None, pause_s: float | None = None) -> list[tuple[int, str, float | None, str]]:
+def turns_of(text: str | None, speaker: str | None, pauses: bool = False) -> list[tuple[int, str, float | None, str]]:
     """(turn_no, who, start, text) of one transcript."""
     if not text or not _MAYBE.search(text):
         return []
     cut = _stretches(text)
     main = family_name(speaker)
     if main is None:
-        titled = Counter(who for kind, who, _, _ in cut if kind == "titled")
+        titled = Counter(x[0][1] for x in cut if x[0][0] == "titled")
         main = titled.most_common(1)[0][0] if titled else None
-    if cut and all(x[2] is not None for x in cut):
-        cut = sorted(cut, key=lambda x: x[2])
+    timed = bool(cut) and all(x[2] is not None for stretch in cut for x in stretch)
+    segments = [x for stretch in cut for x in stretch]
+    segments = _swept(segments) if timed else [[kind, who, start, 0.0, said] for kind, who, start, _, said in segments]
+    limit = _longest_usual([x[3] for x in segments[1:]]) if pauses and timed and len(segments) > 1 else float("inf")
     out: list[list] = []
-    for kind, who, at, said in cut:
+    for kind, who, at, silence, said in segments:
         if not _speaks(said):
             continue
         if kind == "role" and main:
             who = main
-        clean = re.sub(r"\s+", " ", _SPOKEN.sub("", _NOTE.sub(" ", said))).strip()
-        paused = pause_s is not None and out and at is not None and out[-1][1] is not None and at - out[-1][1] > pause_s
-        if out and out[-1][0] == who and not paused:
-            out[-1][2] = f"{out[-1][2]} {_rolled(out[-1][2], clean)}".strip()
+        words = _SPOKEN.sub("", _NOTE.sub(" ", said)).split()
+        same = bool(out) and out[-1][0] == who
+        rolled = overlap(out[-1][2], words) if out else 0
+        if rolled >= ROLLED_WORDS and (same or rolled < len(words)):
+            words = words[rolled:]
+        if same and silence <= limit:
+            out[-1][2] += words
         else:
-            out.append([who, at, clean])
-    return [(n, who, at, said) for n, (who, at, said) in enumerate(out, 1)]
+            out.append([who, at, words])
+    return [(n, who, at, " ".join(words)) for n, (who, at, words) in enumerate(out, 1)]
 
 
 def speaker_turns(
-    df: DataFrame, id_col: str = "fomc_id", text_col: str = "text_content", speaker_col: str = "speaker", pause_s: float | None = None
+    df: DataFrame, id_col: str = "fomc_id", text_col: str = "text_content", speaker_col: str = "speaker", pauses: bool = False
 ) -> DataFrame:
     """(id, turn_no, who, start_s, text): one row per turn of each text with speaker labels."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *t) for i, text, who in zip(b["id"], b["text"], b["who"]) for t in turns_of(text, who, pause_s)]
+            rows = [(i, *t) for i, text, who in zip(b["id"], b["text"], b["who"]) for t in turns_of(text, who, pauses)]
             yield pd.DataFrame(rows, columns=["id", "turn_no", "who", "start_s", "text"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -115,6 +115,40 @@ def test_rolling_captions_are_cut(spark):
     assert [(r["turn_no"], r["who"], r["text"]) for r in rows] == [(1, "day", "one two three four five six seven"), (2, "question", "Why?")]
 
 
+ROLLING = """00:00:08,000 --> 00:00:11,000
+Q: on rates and prices then may I ask
+00:00:11,000 --> 00:00:14,000
+then may I ask about jobs
+00:00:01,000 --> 00:00:04,000
+CHAIR DAY: we had a long talk on rates and prices
+00:00:04,000 --> 00:00:07,500
+long talk on rates and prices today and more
+00:00:14,500 --> 00:00:18,000
+CHAIR DAY: jobs are fine
+00:00:40,000 --> 00:00:44,000
+after this silence I go on"""
+
+
+def test_segments_are_swept_unrolled_and_split_at_long_silences():
+    whole = ["we had a long talk on rates and prices today and more", "on rates and prices then may I ask about jobs", "jobs are fine"]
+    got = turns.turns_of(ROLLING, None, pauses=True)
+    assert [(who, said) for _, who, _, said in got] == [("day", whole[0]), ("question", whole[1]), ("day", whole[2]), ("day", "after this silence I go on")]
+    assert [said for *_, said in turns.turns_of(ROLLING, None)] == [*whole[:2], whole[2] + " after this silence I go on"]
+    steady = "\n".join(f"00:00:{2 * i:02},000 --> 00:00:{2 * i + 1:02},000\nCHAIR DAY: word number {i} is here" for i in range(20))
+    assert len(turns.turns_of(steady, None, pauses=True)) == 1
+
+
+@given(st.lists(st.sampled_from("ab"), max_size=30), st.lists(st.sampled_from("ab"), max_size=30))
+def test_overlap_equals_brute_force(before, after):
+    assert turns.overlap(before, after) == max(n for n in range(min(len(before), len(after)) + 1) if n == 0 or before[-n:] == after[:n])
+
+
+def test_captions_roll_over_across_speakers_and_any_length():
+    said = " ".join(f"w{i}" for i in range(200))
+    text = f"CHAIR DAY: {said}\nCHAIR DAY: {said} end\nQ: w198 w199 end of it\nQ: w199 end of it now"
+    assert [t for *_, t in turns.turns_of(text, None)] == [f"{said} end", "w198 w199 end of it now"]
+
+
 def test_spam_by_language_and_direction(spark, monkeypatch):
     rng = random.Random(3)
     nouns = ["prices", "wages", "output", "credit", "orders", "jobs"]

@@ -67,31 +67,31 @@ def _rank(known: Column, word: Column) -> Column:
 
 
 def _fold(known: Column, word: Column) -> Column:
-    """Ids of a word that is not in the map, by ranked merges over its bytes."""
+    """Ids of a word that is not in the map, by ranked merges over its bytes.
+
+    The ranks of adjacent pairs are kept beside the pieces, so a merge looks up only the two pairs it makes.
+    """
     count = (F.length(word) / 2).cast("int")
-    start = F.struct(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(word, i * 2 + 1, F.lit(2))).alias("pieces"), F.lit(True).alias("open"))
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substr(word, i * 2 + 1, F.lit(2)))
+    pair = lambda a, b: F.coalesce(_rank(known, F.concat(a, b)), F.lit(_NONE))
+    ranks = F.when(count > 1, F.transform(F.sequence(F.lit(0), count - 2), lambda i: pair(F.substr(word, i * 2 + 1, F.lit(2)), F.substr(word, i * 2 + 3, F.lit(2)))))
+    start = F.struct(pieces.alias("pieces"), F.coalesce(ranks, F.array().cast("array<int>")).alias("ranks"))
 
     def merge(state: Column, _: Column) -> Column:
-        pieces = state["pieces"]
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.size(pieces) - 2),
-            lambda i: F.struct(F.coalesce(_rank(known, F.concat(F.get(pieces, i), F.get(pieces, i + 1))), F.lit(_NONE)).alias("rank"), i.alias("at")),
-        )
-        best = F.array_min(pairs)
-        joined = F.transform(
-            F.array(best),
-            lambda b: F.when(b["rank"] == _NONE, F.struct(pieces.alias("pieces"), F.lit(False).alias("open"))).otherwise(
-                F.struct(
-                    F.concat(
-                        F.slice(pieces, 1, b["at"]),
-                        F.array(F.concat(F.get(pieces, b["at"]), F.get(pieces, b["at"] + 1))),
-                        F.slice(pieces, b["at"] + 3, F.size(pieces)),
-                    ).alias("pieces"),
-                    F.lit(True).alias("open"),
-                )
-            ),
-        )[0]
-        return F.when(state["open"] & (F.size(pieces) > 1), joined).otherwise(state)
+        best = F.coalesce(F.array_min(state["ranks"]), F.lit(_NONE))
+
+        def joined(at: Column) -> Column:
+            pieces, ranks = state["pieces"], state["ranks"]
+            new = F.concat(F.get(pieces, at), F.get(pieces, at + 1))
+            before = F.when(at > 0, F.concat(F.slice(ranks, F.lit(1), at - 1), F.array(pair(F.get(pieces, at - 1), new)))).otherwise(F.array().cast("array<int>"))
+            after = F.when(at + 2 < F.size(pieces), F.concat(F.array(pair(new, F.get(pieces, at + 2))), F.slice(ranks, at + 3, F.size(ranks))))
+            return F.struct(
+                F.concat(F.slice(pieces, F.lit(1), at), F.array(new), F.slice(pieces, at + 3, F.size(pieces))).alias("pieces"),
+                F.concat(before, F.coalesce(after, F.array().cast("array<int>"))).alias("ranks"),
+            )
+
+        at = (F.array_position(state["ranks"], best) - 1).cast("int")
+        return F.when(best == _NONE, state).otherwise(F.transform(F.array(at), joined)[0])
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))), start, merge, lambda s: F.transform(s["pieces"], lambda p: _rank(known, p)))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.runtime import BROADCAST_BYTES, cut
+from plumbline.runtime import BROADCAST_BYTES, cut, ship
 
 from . import tokens
 
@@ -93,7 +93,12 @@ def _rated(sized: DataFrame, solved: dict, goals: dict[str, float], caps: dict[s
 
 
 def mixture(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """((id, source, tokens, copies) of the chosen documents, (source, target_share, actual_share, tokens, documents, copies, falls_short))."""
+    """((id, source, tokens, copies) of the chosen documents, (source, target_share, actual_share, goal_share, tokens, documents, copies, falls_short)).
+
+    ``actual_share`` is a source's share of the mixture's tokens, ``goal_share`` its tokens over the size aimed at; the latter
+    stays below the target where a source falls short.
+    """
+    ship(documents.sparkSession)
     listed = cut(_targets(targets))
     side = F.broadcast(listed.select("source")) if listed.count() * 64 <= BROADCAST_BYTES else listed.select("source")
     own = documents.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).cast("string").alias("text")).join(side, "source", "left_semi")
@@ -112,10 +117,14 @@ def mixture(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", te
     parts = binned.groupBy("source", "bin").agg(F.sum("tokens").alias("n"), F.sum(F.col("tokens") * F.col("whole")).alias("kept")).collect()
     edge: dict[str, int] = {}
     spare: dict[str, float] = {}
-    for s in solved:
-        rest = goals[s] - sum(r["kept"] for r in parts if r["source"] == s)
+    own: dict[str, list] = {s: [] for s in solved}
+    for r in sorted(parts, key=lambda r: r["bin"]):
+        if r["source"] in own:
+            own[r["source"]].append(r)
+    for s, bins in own.items():
+        rest = goals[s] - sum(r["kept"] for r in bins)
         edge[s], spare[s] = -1, 0.0
-        for r in sorted((r for r in parts if r["source"] == s), key=lambda r: r["bin"]):
+        for r in bins:
             if rest < r["n"]:
                 edge[s], spare[s] = r["bin"], rest
                 break
@@ -133,14 +142,16 @@ def mixture(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", te
     used = chosen.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.sum("copies").alias("copies")
     )
-    reach = {s: float(g) for s, g in goals.items()}
+    held_tokens = F.coalesce("tokens", F.lit(0))
+    mixed = F.sum(held_tokens).over(Window.partitionBy(F.lit(0)))  # one row a listed source
     shares = listed.join(used, "source", "left").select(
         "source",
         "target_share",
-        (F.coalesce("tokens", F.lit(0)) / F.lit(total) if total else F.lit(0.0)).alias("actual_share"),
-        F.coalesce("tokens", F.lit(0)).alias("tokens"),
+        F.when(mixed > 0, held_tokens / mixed).otherwise(0.0).alias("actual_share"),
+        (held_tokens / F.lit(total) if total else F.lit(0.0)).alias("goal_share"),
+        held_tokens.alias("tokens"),
         F.coalesce("documents", F.lit(0)).alias("documents"),
         F.coalesce("copies", F.lit(0)).alias("copies"),
-        ((F.col("target_share") > 0) & (F.col("source").isin(sorted(full)) | ~F.col("source").isin(sorted(reach)))).alias("falls_short"),
+        ((F.col("target_share") > 0) & (F.col("source").isin(sorted(full)) | ~F.col("source").isin(sorted(goals)))).alias("falls_short"),
     )
     return chosen.withColumnRenamed("id", id_col), shares

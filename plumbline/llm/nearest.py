@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.runtime import ship
+
 SHARD_DAYS = 1024
 ERROR = 3
 SALTS = 8
@@ -79,6 +81,7 @@ def nearest_in_time(
     left: DataFrame, right: DataFrame, id_col: str, left_entity: str, left_day: str, right_entity: str, right_day: str, tolerance: int
 ) -> DataFrame:
     """(id, day): each left row with the nearest day of ``right`` of its entity; rows without one are left out. Days are day numbers."""
+    ship(left.sparkSession)
     index = learned_index(right, right_entity, right_day, tolerance)
     salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     probes = left.where(F.col(left_entity).isNotNull() & F.col(left_day).isNotNull()).select(

@@ -8,27 +8,31 @@ from pyspark.sql import functions as F
 from plumbline.runtime import BROADCAST_BYTES
 
 BLACKOUT_BEFORE, BLACKOUT_AFTER = 12, 1
-_DAY_BYTES = 64
-SALTS = 16
+_DAY_BYTES = 192
 
 
-def _with_calendar(rows: DataFrame, days: DataFrame, entity: str | None, item: Column) -> DataFrame:
-    """Rows with the sorted array ``_calendar`` of their entity's (or of all) meeting days.
+def _by_day(left: DataFrame, meetings: DataFrame, left_day: str, meeting_day: str, entity: str | None, item: Column, ends: dict[str, tuple]) -> DataFrame:
+    """Left rows with, per name in ``ends``, an aggregate of the meetings around their day.
 
-    The arrays are broadcast when the counted days fit; beyond that rows and arrays meet on entity and
-    salt, each array copied ``SALTS`` times, so that a frequent entity is not one task.
+    What a meeting means to a row depends on the row's entity and day only. The distinct days of both sides
+    make one small table an entity, on which range windows compute each aggregate once a day; the rows then
+    meet it by equality of entity and day. The table is broadcast when its counted rows fit.
     """
-    key = entity or "_all"
-    if entity is None:
-        # the same key for all, but not a constant the optimizer could fold into a join without one
-        rows, days = (d.withColumn(key, F.pmod(F.xxhash64(F.col(d.columns[0])), F.lit(1))) for d in (rows, days))
-    calendar = days.groupBy(key).agg(F.sort_array(F.collect_set(item)).alias("_calendar"))
-    if fits_broadcast(days.select(key, item.alias("i")).distinct()):
-        out = rows.join(F.broadcast(calendar), key, "left")
-    else:
-        salted = calendar.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], "left").drop("_salt")
-    return out if entity else out.drop(key)
+    keys = [entity] if entity else []
+    number = F.unix_date(F.col(left_day))
+    held = meetings.where(F.col(meeting_day).isNotNull()).select(*keys, F.unix_date(F.col(meeting_day)).alias("_day"), item.alias("_item"))
+    asked = left.where(F.col(left_day).isNotNull()).select(*keys, number.alias("_day")).distinct()
+    both = asked.withColumn("_item", F.lit(None).cast(held.schema["_item"].dataType)).unionByName(held)
+    days = both.groupBy(*keys, "_day").agg(F.min("_item").alias("_least"), F.max("_item").alias("_most"))
+    # without an entity there is one row a calendar day in all, so that one task holds them
+    window = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_day")
+    table = days.withColumns({n: f(c).over(window.rangeBetween(low, high)) for n, (f, c, low, high) in ends.items()}).drop("_least", "_most")
+    table = table.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_day").alias("_key_day"), *ends)
+    same = number == F.col("_key_day")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_key_{k}"))
+    side = F.broadcast(table) if fits_broadcast(table) else table
+    return left.where(F.col(left_day).isNotNull()).join(side, same, "left").drop("_key_day", *[f"_key_{k}" for k in keys])
 
 
 def align_to_meetings(
@@ -38,30 +42,27 @@ def align_to_meetings(
     """Each left row with its meeting and the rule that chose it.
 
     blackout_pre: the first meeting with ``before`` days ahead to ``after`` days behind around the day;
-    post_meeting: else the latest one not later; no_prior_meeting: else the first of all. The calendar of
-    an entity (or of all) is one array row, joined once; rows are not multiplied by meetings. Left rows
-    with a null day are left out, as are null meeting days; without any meeting the columns are null and
-    the rule is no_prior_meeting.
+    post_meeting: else the latest one not later; no_prior_meeting: else the first of all. Of meetings on one
+    day the least ``carried`` values count as the first and the greatest as the latest. Left rows with a null
+    day are left out, as are null meeting days; without any meeting, and for a null entity, the columns are
+    null and the rule is no_prior_meeting.
     """
-    days = meetings.where(F.col(meeting_day).isNotNull())
     item = F.struct(F.col(meeting_day).alias("day"), *[F.col(c) for c in carried])
-    joined = _with_calendar(left.where(F.col(left_day).isNotNull()), days, entity, item)
-    day = F.col(left_day)
-    held = F.coalesce(F.col("_calendar"), F.array())
-    inside = F.filter(held, lambda m: (F.date_sub(m["day"], before) <= day) & (day <= F.date_add(m["day"], after)))
-    earlier = F.filter(held, lambda m: m["day"] <= day)
-    first, last, start = F.try_element_at(inside, F.lit(1)), F.try_element_at(earlier, F.lit(-1)), F.try_element_at(held, F.lit(1))
-    rule = F.when(first.isNotNull(), "blackout_pre").when(last.isNotNull(), "post_meeting").otherwise("no_prior_meeting")
-    chosen = joined.withColumn("_meeting", F.coalesce(first, last, start)).withColumn("rule", rule)
+    far = Window.unboundedPreceding, Window.unboundedFollowing
+    ends = {"_inside": (F.min, "_least", -after, before), "_earlier": (F.max, "_most", far[0], 0), "_first": (F.min, "_least", *far)}
+    joined = _by_day(left, meetings, left_day, meeting_day, entity, item, ends)
+    rule = F.when(F.col("_inside").isNotNull(), "blackout_pre").when(F.col("_earlier").isNotNull(), "post_meeting").otherwise("no_prior_meeting")
+    chosen = joined.withColumn("_meeting", F.coalesce("_inside", "_earlier", "_first")).withColumn("rule", rule)
     out = [F.col("_meeting.day").alias("meeting_day"), *[F.col(f"_meeting.{c}").alias(f"meeting_{c}") for c in carried]]
     return chosen.select(*[F.col(c) for c in left.columns], *out, "rule")
 
 
 def nearest_meeting(left: DataFrame, meetings: DataFrame, left_day: str, meeting_day: str, entity: str | None = None) -> DataFrame:
     """Each left row with the meeting nearest in time, the earlier of two equally near ones."""
-    joined = _with_calendar(left.where(F.col(left_day).isNotNull()), meetings.where(F.col(meeting_day).isNotNull()), entity, F.col(meeting_day))
-    best = F.array_min(F.transform("_calendar", lambda m: F.struct(F.abs(F.datediff(m, F.col(left_day))).alias("gap"), m.alias("day"))))
-    return joined.withColumn("meeting_day", best["day"]).drop("_calendar")
+    ends = {"_earlier": (F.max, "_most", Window.unboundedPreceding, 0), "_later": (F.min, "_least", 0, Window.unboundedFollowing)}
+    joined = _by_day(left, meetings, left_day, meeting_day, entity, F.col(meeting_day), ends)
+    sooner = F.col("_earlier").isNotNull() & (F.col("_later").isNull() | (F.datediff(left_day, "_earlier") <= F.datediff("_later", left_day)))
+    return joined.withColumn("meeting_day", F.when(sooner, F.col("_earlier")).otherwise(F.col("_later"))).drop("_earlier", "_later")
 
 
 def as_of(

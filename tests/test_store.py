@@ -1,4 +1,6 @@
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,13 +67,30 @@ def test_build_aligns_every_dated_speech_once(spark, tmp_path):
     assert got == {"20230320": ("blackout_pre", "20230322", "raise"), "20230410": ("post_meeting", "20230322", "raise")}
 
 
-def test_guard(spark):
-    assert guard.run(spark, "select 1 as a union all select 2", 1).count() == 1
-    assert guard.run(spark, "with x as (select 'drop table; now' as t) select replace(t, 'drop', '') from x").count() == 1
-    for bad in ("drop table x", "select 1; select 2", "select * from t where exists (delete from t)", "update t set a = 1", "insert into t values (1)"):
+def test_guard(spark, tmp_path):
+    spark.createDataFrame([(1, "x")], "set int, t string").createOrReplaceTempView("guarded_one")
+    good = [
+        "select 1 as a union all select 2", "with x as (select 'drop table; now' as t) select replace(t, 'drop', '') from x", "select set from guarded_one where t in (select t from guarded_one)",
+        "select a.set, (select max(set) from guarded_one) as m from guarded_one a join range(3) r on true", "with y as (select * from guarded_one) select count(*) from y where exists (select 1 from y)",
+    ]
+    for sql in good:
+        assert guard.run(spark, sql, 1).count() == 1, sql
+    spark.range(3).write.parquet(str(tmp_path / "secret"))
+    place = f"parquet.`{tmp_path}/secret`"
+    bad = [
+        "drop table x", "select 1; select 2", "with x as (select 1) insert into t select * from x", "", "explain select 1", "select * from nowhere_else",
+        f"select * from {place}", f"select (select max(id) from {place})", f"select 1 where exists (select 1 from {place})", f"with x as (select * from {place}) select * from x",
+        f"select 1 where 1 in (select id from {place})", f"select 1 from guarded_one where t = (select max(t) from (select * from {place}))", f"select * from guarded_one, lateral (select * from {place})",
+        "select java_method('java.lang.System', 'getProperty', 'user.home')", "select reflect('java.lang.System', 'getProperty', 'user.home')", "select upper(try_reflect('java.lang.System', 'getProperty', 'user.home'))",
+        "select * from spark_catalog.default.guarded_one", "select not a statement from",
+    ]
+    for sql in bad:
         with pytest.raises(ValueError):
-            guard.check(bad)
-
+            guard.check(spark, sql)
+    with pytest.raises(ValueError):
+        guard.check(spark, "select * from guarded_one", views=["other"])
+    assert json.loads(guard.as_json(spark, "select set from guarded_one")) == {"rows": [{"set": 1}], "count": 1}
+    assert "error" in json.loads(guard.as_json(spark, bad[6])) and "error" in json.loads(guard.as_json(spark, "select nope from guarded_one"))
 
 def test_reports(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "t string, g string")

@@ -19,12 +19,6 @@ def band(value: Column, steps: tuple[tuple[float, str], ...], below: str) -> Col
     return out.otherwise(below)
 
 
-def signed(value: Column, edge: float, names: tuple[str, str, str]) -> Column:
-    """(up, down, flat) by whether a value reaches ``edge`` in either direction; null stays null."""
-    up, down, flat = names
-    return F.when(value >= edge, up).when(value <= -edge, down).when(value.isNotNull(), flat)
-
-
 def office(name: Column) -> Column:
     """Office a name is written with, most senior first; 'other' where it has none."""
     low = F.lower(F.coalesce(name, F.lit("")))

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\t\n\x0B\f\r \x85\xA0  -     　]"
 #: Month names and the forms of dates, percentages and basis points that count as figures.
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_SPOKEN_DAY = rf"(?i)\b(?:{_MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b"
+_ISO_DAY = r"\b20\d{2}-\d{2}-\d{2}\b"
+_PERCENTAGE = r"\b\d+(?:\.\d+)?\s*%"
+_BASIS_POINTS = r"(?i)\b\d+\s*basis\s+points?\b"
 
 
 def strip(text: Column) -> Column:
@@ -48,16 +52,16 @@ def content_hash(text: Column) -> Column:
 
 def dates_in(text: Column) -> Column:
     """Dates in words, then ISO dates of this century, in order of appearance."""
-    spoken = F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{_MONTHS})\s+\d{{1,2}},?\s+\d{{4}}\b"), F.lit(0))
-    return F.concat(spoken, F.regexp_extract_all(text, F.lit(r"\b20\d{2}-\d{2}-\d{2}\b"), F.lit(0)))
+    spoken = F.regexp_extract_all(text, F.lit(_SPOKEN_DAY), F.lit(0))
+    return F.concat(spoken, F.regexp_extract_all(text, F.lit(_ISO_DAY), F.lit(0)))
 
 
 def percentages_in(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\b\d+(?:\.\d+)?\s*%"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_PERCENTAGE), F.lit(0))
 
 
 def basis_points_in(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?i)\b\d+\s*basis\s+points?\b"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_BASIS_POINTS), F.lit(0))
 
 
 def _quoted(term: str) -> str:
@@ -121,12 +125,16 @@ def sentence_count(text: Column) -> Column:
     return F.greatest(F.size(parts), F.lit(1))
 
 
+def prefix_size(count: Column, percent: Column) -> Column:
+    """How many of ``count`` words are ``percent`` of them (kept in 1..100), rounded up, at least one."""
+    share = F.least(F.greatest(percent, F.lit(1)), F.lit(100))
+    return F.greatest(F.ceil(count * share / F.lit(100)).cast("int"), F.lit(1))
+
+
 def prefix(text: Column, percent: Column) -> Column:
-    """The first ``percent`` of a text's words, rounded up, at least one, joined by blanks."""
+    """The first ``percent`` of a text's words joined by blanks."""
     own = words(text)
-    share = F.least(F.greatest(percent, F.lit(1)), F.lit(100))
-    count = F.greatest(F.ceil(F.size(own) * share / F.lit(100)).cast("int"), F.lit(1))
-    return F.array_join(F.slice(own, F.lit(1), count), " ")
+    return F.array_join(F.slice(own, F.lit(1), prefix_size(F.size(own), percent)), " ")
 
 
 def person_key(name: Column) -> Column:

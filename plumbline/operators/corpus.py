@@ -100,6 +100,17 @@ def search(df: DataFrame, needle: str, text: str, keep: list[str], before: int =
     return df.where(F.contains(F.lower(text), F.lit(needle.lower()))).select(*keep, T.snippet(F.col(text), needle, before, after).alias("snippet"))
 
 
+def news_page(news: DataFrame, source: str | None = None, topic: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """News of a source (equality) and on a topic (in its query or title, letter case aside), newest first, the greater id first of equal times."""
+    out = news if source is None else news.where(F.col("source") == source)
+    if topic is not None:
+        held = F.lit(False)
+        for c in ("topic_query", "title"):
+            held = held | F.coalesce(F.contains(F.lower(c), F.lit(topic.lower())), F.lit(False))
+        out = out.where(held)
+    return out.orderBy(F.desc_nulls_last("published_at"), F.desc("id")).offset(offset).limit(limit)
+
+
 def usable_for_models(df: DataFrame, min_words: int = 80) -> DataFrame:
     """Rows of at least ``min_words`` words, acceptable quality, no blocking flag, a known direction and a readable day."""
     quality = F.coalesce("quality_score", F.lit(1.0))

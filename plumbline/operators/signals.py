@@ -10,24 +10,11 @@ from plumbline.functions import scores as S
 from plumbline.functions import text as T
 
 
-def text_features(text: Column, fraction: Column) -> dict[str, Column]:
-    """Numeric features of a (prefix of a) text: length, policy score, hits and rates of the term lists."""
-    count = F.greatest(T.word_count(text), F.lit(1))
-    per_1k = count / 1000.0
-    score = S.policy_score(text)
-    hits = {n: T.sum_substring_hits(text, t) for n, t in (("hawkish", L.HAWKISH), ("dovish", L.DOVISH), ("hold", L.HOLD), ("uncertain", L.UNCERTAIN), ("cues", L.EXPLICIT_CUES))}
-    out = {"fraction": fraction, "log_words": F.log1p(count), "policy_score": score, "policy_score_per_1k": score / per_1k}
-    out |= {f"{n}_hits": c for n, c in hits.items()}
-    out |= {f"{n}_per_1k": hits[n] / per_1k for n in ("hawkish", "dovish", "hold", "uncertain")}
-    out["tone_balance"] = (hits["hawkish"] - hits["dovish"]) / F.sqrt(count)
-    out["log_policy_per_1k"] = F.log1p(score / per_1k)
-    return out
-
-
 def expand_prefixes(df: DataFrame, text: str, percents: list[int]) -> DataFrame:
-    """One row a document and percent, with the text's prefix in place of the text."""
-    spread = df.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
-    return spread.withColumn(text, T.prefix(F.col(text), F.col("percent")))
+    """One row a document and percent, with the text's prefix in place of the text; the text is split once for all percents."""
+    split = df.withColumn(text, T.words(F.col(text)))
+    spread = split.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
+    return spread.withColumn(text, F.array_join(F.slice(text, F.lit(1), T.prefix_size(F.size(text), F.col("percent"))), " "))
 
 
 def timeline_points(total: Column, first: int, step: int, most: int) -> Column:
@@ -58,12 +45,29 @@ def first_stable(df: DataFrame, keys: list[str], order: str, value: str, steps:
     return hit.groupBy(*keys).agg(F.min(order).alias(order), F.min_by(value, order).alias(value))
 
 
-def action(relevance: Column, lower: Column, maintain: Column, raised: Column, relevant_from: float = 0.5, none_until: float = 0.35, sure_from: float = 0.45, margin_from: float = 0.05) -> Column:
-    """Action from a relevance probability and three direction probabilities: two gates, then the best direction if it is clear."""
-    ranked = F.sort_array(F.array(*[F.struct(p.alias("p"), F.lit(n).alias("n")) for n, p in zip(L.DIRECTIONS, (lower, maintain, raised))]), asc=False)
-    best, second = ranked[0], ranked[1]
-    clear = (best["p"] >= sure_from) & (best["p"] - second["p"] >= margin_from)
-    return F.when(relevance <= none_until, "no_rate_signal").when((relevance < relevant_from) | ~clear, "uncertain_rate_signal").otherwise(best["n"])
+def action(
+    relevance: Column, lower: Column, maintain: Column, raised: Column, relevant_from: float = 0.5, none_until: float = 0.35, sure_from: float = 0.45, margin_from: float = 0.05,
+    lower_from: float = 1.01, lower_gap: float = 0.0,
+) -> Column:
+    """Struct (action, state, confidence, margin) from a relevance probability and three direction probabilities.
+
+    Two gates on relevance, then ``lower`` where it reaches ``lower_from`` and is within ``lower_gap`` of ``maintain``,
+    then the best direction (the first listed of equal ones) if it is sure and clear, else uncertain.
+    """
+    listed = [F.struct(p.alias("p"), F.lit(-i).alias("order"), F.lit(n).alias("n")) for i, (n, p) in enumerate(zip(L.DIRECTIONS, (lower, maintain, raised)))]
+    ranked = F.sort_array(F.array(*listed), asc=False)
+    best, margin = ranked[0], ranked[0]["p"] - ranked[1]["p"]
+
+    def out(name, state: str, confidence: Column) -> Column:
+        return F.struct((name if isinstance(name, Column) else F.lit(name)).alias("action"), F.lit(state).alias("state"), confidence.alias("confidence"), margin.alias("margin"))
+
+    return (
+        F.when(relevance <= none_until, out("no_rate_signal", "no_rate_signal", 1 - relevance))
+        .when(relevance < relevant_from, out("uncertain_rate_signal", "uncertain", relevance))
+        .when((lower >= lower_from) & (maintain - lower <= lower_gap), out("lower", "rate_relevant_lower_override", lower))
+        .when((best["p"] < sure_from) | (margin < margin_from), out("uncertain_rate_signal", "rate_relevant_uncertain_direction", best["p"]))
+        .otherwise(out(best["n"], "rate_relevant_directional", best["p"]))
+    )
 
 
 def excerpts(df: DataFrame, key: str, text: str, terms: tuple[str, ...], count: int = 3) -> DataFrame:
@@ -75,13 +79,25 @@ def excerpts(df: DataFrame, key: str, text: str, terms: tuple[str, ...], count:
     return found.withColumn("rank", rank).where(F.col("rank") <= count).select(key, "rank", "matched", "sentence")
 
 
-def word_weights(df: DataFrame, key: str, text: str, min_documents: int = 2) -> DataFrame:
-    """(key, term, tf, df, weight): smoothed tf-idf with log term frequency, unit length per document, over single words."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z]{2,}"), F.lit(0))
-    counts = df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    spread = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_documents)
+def terms_of(text: Column) -> Column:
+    """Words of two letters, digits or underscores and more, in lower case, and each pair of words that follow each other."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    pairs = F.transform(F.slice(words, 2, F.size(words)), lambda w, i: F.concat_ws(" ", F.get(words, i), w))
+    return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
+
+
+def word_weights(df: DataFrame, key: str, text: str, min_documents: int = 2, max_share: float = 0.95, salts: int = 16) -> DataFrame:
+    """(key, term, tf, df, weight): smoothed tf-idf with log term frequency, unit length per document, over words and pairs of words.
+
+    Terms in fewer than ``min_documents`` or in more than ``max_share`` of the documents are left out. A term that is
+    in most documents meets its count on term and salt, so it is not one task.
+    """
+    counts = df.select(key, F.explode(terms_of(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     total = df.count()
-    raw = counts.join(spread, "term").withColumn("_raw", (1 + F.log("tf")) * (F.log((1.0 + total) / (1 + F.col("df"))) + 1))
+    spread = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_documents) & (F.col("df") <= max_share * total))
+    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    raw = salted.join(spread, ["term", "_salt"]).withColumn("_raw", (1 + F.log("tf")) * (F.log((1.0 + total) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "tf", "df", (F.col("_raw") / length).alias("weight"))
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.runtime import cut
+
 _COMMON = [
     ("text_content", T.StringType()), ("decision", T.StringType()), ("high", T.StringType()), ("low", T.StringType()),
 ]
@@ -70,22 +72,31 @@ def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order: list[Col
     return latest_by(fresh.join(existing.select(key), key, "left_anti"), [key], order)
 
 
-def merge_and_write(spark: SparkSession, path: str, new: DataFrame, schema: T.StructType, keys: list[str]) -> int:
+#: Rows a file of the store holds, about.
+FILE_ROWS = 500_000
+
+
+def merge_and_write(spark: SparkSession, path: str, new: DataFrame, schema: T.StructType, keys: list[str], file_rows: int = FILE_ROWS) -> int:
     """Upsert ``new`` into the store at ``path``; returns how many rows were given.
 
-    Only the years that ``new`` touches are read and rewritten. They are written beside the store and each
-    year's folder is then swapped in by a rename, so that a reader never meets a half-written year and a
-    lost executor only repeats tasks.
+    Only the years that ``new`` touches are read and rewritten; a null year is year 0. They are written beside the
+    store, each year over as many tasks and files as its counted rows need, and each year's folder is then swapped
+    in by two renames, so that no reader meets a half-written file; between the two the year is absent. A lost
+    executor only repeats tasks.
     """
-    new = new.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    new = new.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).withColumn("year", F.coalesce("year", F.lit(0)))
     given = {r["year"]: r["count"] for r in new.groupBy("year").count().collect()}
     years = list(given)
     if not years:
         return 0
     stored = read_corpus(spark, path, schema).where(F.col("year").isin(years))
+    held = {r["year"]: r["count"] for r in stored.groupBy("year").count().collect()}
+    files = {y: -(-(given[y] + held.get(y, 0)) // file_rows) for y in years}
     merged = upsert(stored, new, keys, [F.desc("ingested_at")])
     staging = f"{path.rstrip('/')}__staging_{uuid.uuid4().hex}"
-    merged.repartition("year").write.partitionBy("year").parquet(staging)
+    known = F.create_map(*[x for y, n in files.items() for x in (F.lit(y), F.lit(n))])
+    spread = merged.withColumn("_part", F.pmod(F.xxhash64(*keys), known[F.col("year")]))
+    spread.repartition(sum(files.values()), "year", "_part").drop("_part").write.partitionBy("year").parquet(staging)
     fs, base = _path(spark, path)
     fs.mkdirs(base)
     for year in years:
@@ -99,6 +110,35 @@ def merge_and_write(spark: SparkSession, path: str, new: DataFrame, schema: T.St
     return sum(given.values())
 
 
+def record_audit(spark: SparkSession, path: str, rows: DataFrame, run_id: str) -> DataFrame:
+    """Append (content_hash, date, document_type, source_url, word_count, quality_score, run_id, ingested_at) rows; returns the current state.
+
+    The state has one row a hash, date and type: the latest recorded. Empty documents share a hash, so the hash alone is no key.
+    """
+    kept = rows.select("content_hash", "date", "document_type", "source_url", "word_count", "quality_score", F.lit(run_id).alias("run_id"), "ingested_at")
+    append_log(kept, path)
+    return latest_by(spark.read.parquet(path), ["content_hash", "date", "document_type"], [F.desc("ingested_at"), F.desc("run_id")])
+
+
+def insert_new(spark: SparkSession, path: str, new: DataFrame, key: str, order: list[Column]) -> int:
+    """``insert_ignore`` into the Parquet table at ``path``; returns how many rows were really added."""
+    stored = spark.read.parquet(path) if exists(spark, path) else new.limit(0)
+    fresh = cut(insert_ignore(stored, new, key, order))
+    fresh.write.mode("append").parquet(path)
+    return fresh.count()
+
+
+def write_errors(failures: DataFrame, path: str) -> None:
+    """Append (run_id, url, http_status, message, occurred_at) as CSV with a header a file; line feeds and quotes of messages become blanks and apostrophes."""
+    clean = F.replace(F.regexp_replace("message", r"[\r\n]+", " "), F.lit('"'), F.lit("'"))
+    failures.select("run_id", "url", "http_status", clean.alias("message"), "occurred_at").write.mode("append").option("header", True).csv(path)
+
+
+def restore(spark: SparkSession, source: str, path: str) -> None:
+    """Put the snapshot at ``source`` in place of the store at ``path``; the store stays until the copy is whole."""
+    snapshot(spark, source, path)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append event rows; the current state is ``latest_by`` their id."""
     df.write.mode("append").parquet(path)

@@ -14,7 +14,7 @@ from plumbline.operators import reports, signals, store
 from plumbline.runtime import table
 
 from . import oracle as O
-from .queries import MEETING, SPEECH, query
+from .queries import MEETING, SPEECH, TERM_WEIGHTS, query
 
 _HOST = "lower(coalesce(domain, ''))"
 
@@ -213,22 +213,25 @@ def document_analysis(spark, d):
     return table(spark, d, "fomc", "fomc_id", "text_content").select("fomc_id", F.to_json(body).alias("analysis"))
 
 
-@query()
+@query(f"""{TERM_WEIGHTS}, u AS (SELECT fomc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY fomc_id)), 6) AS weight FROM w)
+SELECT fomc_id, row_number() OVER (PARTITION BY fomc_id ORDER BY weight DESC, term)::INT AS rank, term, weight FROM u QUALIFY rank <= 12""")
 def strongest_terms(spark, d):
-    """Per document the twelve terms of greatest weight."""
-    w = signals.word_weights(table(spark, d, "fomc", "fomc_id", "text_content"), "fomc_id", "text_content")
+    """Per document the twelve terms of greatest weight, to six decimals."""
+    w = signals.word_weights(table(spark, d, "fomc", "fomc_id", "text_content"), "fomc_id", "text_content").withColumn("weight", F.round("weight", 6))
     rank = F.row_number().over(Window.partitionBy("fomc_id").orderBy(F.desc("weight"), "term"))
     return w.withColumn("rank", rank).where("rank <= 12").select("fomc_id", "rank", "term", "weight")
 
 
-@query()
+@query("""WITH b AS (SELECT 'fomc' AS corpus, fomc_id AS id, text_content FROM fomc UNION ALL SELECT 'speaker', speech_id, text_content FROM speaker)
+SELECT corpus, id, substr(text_content, 1, 8000) AS text FROM b ORDER BY sha256(concat_ws('|', '7', corpus, id::VARCHAR)) LIMIT 1""")
 def random_record(spark, d):
-    """One record of both corpora, repeatably: the least seeded hash."""
-    a = table(spark, d, "fomc", F.lit("fomc").alias("corpus"), F.col("fomc_id").alias("id"))
-    b = table(spark, d, "speaker", F.lit("speaker").alias("corpus"), F.col("speech_id").alias("id"))
-    return a.unionByName(b).orderBy(F.xxhash64(F.lit(7), "corpus", "id")).limit(1)
+    """One record of both corpora, repeatably: the least seeded hash; its text is cut to 8,000 characters for display."""
+    a = table(spark, d, "fomc", F.lit("fomc").alias("corpus"), F.col("fomc_id").alias("id"), "text_content")
+    b = table(spark, d, "speaker", F.lit("speaker").alias("corpus"), F.col("speech_id").alias("id"), "text_content")
+    picked = a.unionByName(b).orderBy(F.sha2(F.concat_ws("|", F.lit("7"), "corpus", F.col("id").cast("string")), 256)).limit(1)
+    return picked.select("corpus", "id", F.substring("text_content", 1, 8000).alias("text"))
 
 
-@query()
+@query("SELECT coalesce(message, 'None') AS value, count(*)::BIGINT AS count, count(*) / (SELECT count(*) FROM fetch_errors) AS share FROM fetch_errors GROUP BY 1 ORDER BY count DESC, value LIMIT 10")
 def error_statistics(spark, d):
     return reports.distribution(table(spark, d, "fetch_errors", "message"), F.col("message")).orderBy(F.desc("count"), "value").limit(10)

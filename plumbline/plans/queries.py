@@ -455,7 +455,9 @@ def class_weights(spark, d):
     return reports.balanced_weights(table(spark, d, "fomc", "decision"), "decision")
 
 
-@query("""SELECT source, count(DISTINCT url)::INT AS items, sha256(string_agg(DISTINCT url, chr(10) ORDER BY url)) AS hash FROM news WHERE url IS NOT NULL GROUP BY source""")
+@query("""WITH i AS (SELECT DISTINCT source, url FROM news WHERE url IS NOT NULL),
+b AS (SELECT source, substr(sha256(url), 1, 2) AS bucket, count(*) AS n, sha256(string_agg(url, chr(10) ORDER BY url)) AS digest FROM i GROUP BY ALL)
+SELECT source, sum(n)::BIGINT AS items, sha256(string_agg(bucket || digest, chr(10) ORDER BY bucket || digest)) AS hash FROM b GROUP BY source""")
 def feed_fingerprints(spark, d):
     return reports.fingerprint(table(spark, d, "news", "source", "url").where("url is not null"), "source", F.col("url"))
 
@@ -489,13 +491,17 @@ def action_rule(spark, d):
     e = F.col("event_id")
     ev = table(spark, d, "events", "event_id")
     a, b, c = (((e * k) % 90 + 1).cast("double") for k in (17, 29, 43))
-    return ev.select("event_id", signals.action(((e * 37) % 100) / 100.0, a / (a + b + c), b / (a + b + c), c / (a + b + c)).alias("action"))
+    return ev.select("event_id", signals.action(((e * 37) % 100) / 100.0, a / (a + b + c), b / (a + b + c), c / (a + b + c))["action"].alias("action"))
 
 
-@query(f"""WITH t AS (SELECT fomc_id, unnest(regexp_extract_all(lower(coalesce(text_content, '')), '[a-z]{{2,}}')) AS term FROM fomc),
-c AS (SELECT fomc_id, term, count(*) AS tf FROM t GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 2),
-w AS (SELECT fomc_id, term, tf, df, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM fomc)) / (1 + df)) + 1) AS raw FROM c JOIN g USING (term))
-SELECT fomc_id, count(*)::BIGINT AS terms, sum(tf)::BIGINT AS tokens, sum(df)::BIGINT AS spread FROM w GROUP BY fomc_id""")
+TERM_WEIGHTS = """WITH l AS (SELECT fomc_id, regexp_extract_all(lower(coalesce(text_content, '')), '[\\p{L}\\p{N}_]{2,}') AS t FROM fomc),
+t AS (SELECT fomc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM l),
+c AS (SELECT fomc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+g AS (SELECT term, count(*) AS df FROM c GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM fomc)),
+w AS (SELECT fomc_id, term, tf, df, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM fomc)) / (1 + df)) + 1) AS raw FROM c JOIN g USING (term))"""
+
+
+@query(f"""{TERM_WEIGHTS} SELECT fomc_id, count(*)::BIGINT AS terms, sum(tf)::BIGINT AS tokens, sum(df)::BIGINT AS spread FROM w GROUP BY fomc_id""")
 def word_weight_totals(spark, d):
     w = signals.word_weights(table(spark, d, "fomc", "fomc_id", "text_content"), "fomc_id", "text_content")
     return w.groupBy("fomc_id").agg(F.count("*").alias("terms"), F.sum("tf").alias("tokens"), F.sum("df").alias("spread"))
@@ -515,20 +521,27 @@ def lexicon_scores(spark, d):
     return signals.lexicon_hits(table(spark, d, "fomc", "fomc_id", "text_content"), "fomc_id", "text_content", F.broadcast(lexicon))
 
 
-@query()
+_SPACE = r"[\t\n\x0b\f\r ]"
+_EXCERPT = ("inflation", "prices", "outlook", "price stability")
+_MATCHED = " + ".join(f"(len(regexp_extract_all(lower(sentence), '\\b{t}\\b')) > 0)::INT" for t in _EXCERPT)
+
+
+@query(f"""WITH s AS (SELECT fomc_id, unnest(x) AS sentence, unnest(range(len(x))) AS place FROM (
+  SELECT fomc_id, string_split(regexp_replace(coalesce(text_content, ''), '([.!?]){_SPACE}+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM fomc)),
+m AS (SELECT fomc_id, sentence, {_MATCHED} AS matched, min(place) AS place FROM s GROUP BY ALL)
+SELECT fomc_id, row_number() OVER (PARTITION BY fomc_id ORDER BY matched DESC, place)::INT AS rank, matched::INT AS matched, sentence FROM m WHERE matched > 0 QUALIFY rank <= 3""")
 def signal_excerpts(spark, d):
-    return signals.excerpts(table(spark, d, "fomc", "fomc_id", "text_content"), "fomc_id", "text_content", ("inflation", "prices", "outlook", "price stability"))
+    return signals.excerpts(table(spark, d, "fomc", "fomc_id", "text_content"), "fomc_id", "text_content", _EXCERPT)
 
 
-@query()
-def cue_positions(spark, d):
-    return table(spark, d, "fomc", "fomc_id", "text_content").select("fomc_id", S.cue_word_percent(F.col("text_content")).alias("cue_percent"))
+_LOW = "lower(coalesce(text_content, ''))"
+_FIRST = "list_min(list_filter([" + ", ".join(f"instr({_LOW}, '{c}')" for c in L.EXPLICIT_CUES) + "], lambda x: x > 0))"
 
 
-@query()
-def feature_block(spark, d):
-    df = table(spark, d, "fomc", "fomc_id", "text_content")
-    return df.select("fomc_id", *[c.alias(n) for n, c in signals.text_features(F.col("text_content"), F.lit(1.0)).items()])
+@query(f"""WITH c AS (SELECT fomc_id, {_LOW} AS low, {_FIRST} AS first FROM fomc)
+SELECT fomc_id, CASE WHEN first IS NOT NULL THEN least(greatest(round_even(100.0::DOUBLE * {O.words('substr(low, 1, first::INT - 1)')} / greatest({O.words('low')}, 1), 1), 1), 100) END::DOUBLE AS cue_percent FROM c""")
+def cue_positions(spark, d):
+    return table(spark, d, "fomc", "fomc_id", "text_content").select("fomc_id", S.cue_word_percent(F.col("text_content")).alias("cue_percent"))
 
 
 # ---- pages, summaries, models (no SQL expresses them) ----------------------------------------------------------------

@@ -83,8 +83,3 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """True if the optimizer's own size estimate of ``df`` is within ``limit`` bytes."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes())) <= limit

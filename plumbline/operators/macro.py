@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import lexicons as L
 
-from .store import latest_by
+from .store import exists, latest_by
 from .temporal import fits_broadcast, forward_fill, lag_change
 
 #: Changes of the context: column, source column, days.
@@ -22,6 +24,29 @@ def revised(series: DataFrame) -> DataFrame:
     return latest_by(series, ["series_id", "obs_date"], [F.desc("fetched_at"), F.desc_nulls_last("value")])
 
 
+def cached_series(spark: SparkSession, path: str, series_id: str, first_day: str, last_day: str, fetch: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """(series_id, obs_date, value) of a series from the table at ``path`` where it holds any of the days, else fetched, stored and read back.
+
+    ``fetch`` gives (series_id, obs_date, value, fetched_at); ``force`` fetches in any case.
+    """
+    def stored() -> DataFrame:
+        rows = spark.read.parquet(path).where((F.col("series_id") == series_id) & F.col("obs_date").between(first_day, last_day))
+        return revised(rows).where("value is not null").select("series_id", "obs_date", "value")
+
+    held = exists(spark, path)
+    if force or not held or stored().isEmpty():
+        fetch().write.mode("append").parquet(path)
+    return stored()
+
+
+def available(context: DataFrame, columns: tuple[str, ...] = ("funds_rate", "curve", "unemployment", "target_mid")) -> DataFrame:
+    """``context`` with ``context_available``: 1 where any of the columns is known."""
+    known = F.lit(False)
+    for c in columns:
+        known = known | F.col(c).isNotNull()
+    return context.withColumn("context_available", known.cast("double"))
+
+
 def last_observations(series: DataFrame, count: int) -> DataFrame:
     """The last ``count`` observations of each series, oldest first in each."""
     rank = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("obs_date")))

@@ -21,6 +21,13 @@ _BLOCK = frozenset(("p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5",
 SHORT_WORDS = 120
 RATE_PHRASE, RATE_REACH = "federal funds rate", 550
 RANGE_PATTERN = r"(?i)(?:at|to)\s+([\d/-]+)\s+to\s+([\d/-]+)\s+percent"
+#: Lines that are furniture of a page, and the lines of an event page's head.
+BOILERPLATE = frozenset(("Share", "Watch Live", "Last Update:", "Back to Top", "Home"))
+_DATE_LINE = re.compile(r"\d{1,2}/\d{1,2}/\d{4}|(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4}")
+_PERSON_LINE = re.compile(r"(?:Chair|Vice Chair|Vice Chair for Supervision|Chair Pro Tempore|Governor|Member|Director)\b")
+_PLACE_LINE = re.compile(r"(?:At|Before)\b")
+_MARKUP = re.compile(r"<!--.*?-->|<(script|style)[^>]*>.*?</\1>|<[^>]+>", re.I | re.S)
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 DECISION_PATTERN = r"(?i)to\s+(maintain|lower|raise)\s+the\s+target\s+range"
 
 
@@ -82,14 +89,35 @@ class _Collector(HTMLParser):
         self._put(data)
 
 
+def fold(text: str) -> str:
+    """NFKC with every dash as a hyphen."""
+    return re.sub("[‐-—−]", "-", unicodedata.normalize("NFKC", text))
+
+
 def clean(text: str | None) -> str:
-    """NFKC, dashes folded, words hyphenated over a line end joined, bare page numbers dropped, white space collapsed."""
-    folded = re.sub("[‐-—−]", "-", unicodedata.normalize("NFKC", text or ""))
-    joined = re.sub(r"(\w)-\n(\w)", r"\1\2", folded)
-    kept = [x for x in (y.strip() for y in joined.splitlines()) if x and not re.fullmatch(r"(?i)(?:page\s+)?\d{1,3}", x)]
+    """Folded, words hyphenated over a line end joined, bare page numbers and boilerplate lines dropped, white space collapsed."""
+    joined = re.sub(r"(\w)-\n(\w)", r"\1\2", fold(text or ""))
+    kept = [x for x in (y.strip() for y in joined.splitlines()) if x and x not in BOILERPLATE and not re.fullmatch(r"(?i)(?:page\s+)?\d{1,3}", x)]
     return re.sub(r"\s+", " ", " ".join(kept)).strip()
 
 
+def plain(text: str | None) -> str:
+    """Entities resolved, comments, scripts, styles and tags as blanks, folded, control characters as blanks, white space collapsed."""
+    bare = _MARKUP.sub(" ", html.unescape(text or ""))
+    return re.sub(r"\s+", " ", _CONTROL.sub(" ", fold(bare))).strip()
+
+
+def plain_text(text: Column) -> Column:
+    """``plain`` as an Arrow-batched column; null counts as empty."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(plain).astype(object)
+
+    return run(text)
+
+
 def parse(page: str | None) -> tuple[str, str, list[str], int]:
     """(title, text, flags, words) of a page. Nothing is invented: a page without text has the flag no_text."""
     if not page or not page.strip():
@@ -107,6 +135,44 @@ def parse(page: str | None) -> tuple[str, str, list[str], int]:
     return title, texts[at], flags + (["short_body"] if count < SHORT_WORDS else []), count
 
 
+def board_page(page: str | None) -> tuple[str | None, str, str, str]:
+    """(day, title, participant, body) of an event page by the order of its lines.
+
+    A first line that is a date gives the day; the next is the title. A line that names an office, or one that is followed by
+    a line of place (At, Before), is the participant; the line of place and share or watch lines are dropped.
+    """
+    collector = _Collector()
+    collector.feed(page or "")
+    collector.close()
+    block = next((b for b in ("".join(p) for p in collector.parts) if b.strip()), "")
+    lines = [x for x in (re.sub(r"\s+", " ", y).strip() for y in fold(block).splitlines()) if x and not x.isdigit()]
+    day, rest = None, lines
+    if lines and _DATE_LINE.fullmatch(lines[0]):
+        read = pd.to_datetime(lines[0], errors="coerce", format="%m/%d/%Y" if lines[0][0].isdigit() else "%B %d, %Y")
+        day, rest = (None if pd.isna(read) else read.strftime("%Y%m%d")), lines[1:]
+    title, rest = (rest[0], rest[1:]) if rest else ("", [])
+    participant = ""
+    placed = [bool(_PLACE_LINE.match(x)) for x in rest[:2]] + [False, False]
+    if rest and (_PERSON_LINE.match(rest[0]) or (placed[1] and not placed[0])):
+        participant, rest = rest[0], rest[1:]
+    if rest and _PLACE_LINE.match(rest[0]):
+        rest = rest[1:]
+    while rest and rest[0] in ("Share", "Watch Live"):
+        rest = rest[1:]
+    return day, title, participant, " ".join(rest).strip()
+
+
+def board_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
+    """``df`` with day, title, participant and body in place of the event page."""
+
+    @F.pandas_udf("struct<day:string,title:string,participant:string,body:string>")
+    def run(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in pages:
+            yield pd.DataFrame([board_page(p) for p in batch], columns=["day", "title", "participant", "body"])
+
+    return df.withColumn("_page", run(html_col)).drop(html_col).select("*", "_page.*").drop("_page")
+
+
 def parse_pages(df: DataFrame, html_col: str = "html") -> DataFrame:
     """``df`` with a struct column ``parsed`` (title, text, flags, words) in place of the page."""
 
@@ -124,9 +190,13 @@ def best_variant(df: DataFrame, keys: list[str], words: str, order: str) -> Data
 
 
 def statement_policy(text: Column) -> dict[str, Column]:
-    """Decision and range of a statement: the range is looked for within 550 characters of the rate's first mention."""
+    """Decision, range and error of a statement: the range is looked for within 550 characters of the rate's first mention.
+
+    ``error`` says what is missing: the body, the rate, or the range (the decision then stands alone).
+    """
     at = F.instr(F.lower(text), RATE_PHRASE)
     near = F.when(at > 0, F.substr(text, at, F.lit(RATE_REACH)))
     decision = F.lower(F.regexp_extract(text, DECISION_PATTERN, 1))
     first, second = (S.rate_text(S.rate_value(F.regexp_extract(near, RANGE_PATTERN, g))) for g in (1, 2))
-    return {"decision": F.when(decision == "", "maintain").otherwise(decision), "range_from": first, "range_to": second}
+    error = F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, "no article body").when(at == 0, f"no {RATE_PHRASE} mention").when(~near.rlike(RANGE_PATTERN), "no target range")
+    return {"decision": F.when(decision == "", "maintain").otherwise(decision), "range_from": first, "range_to": second, "error": error}

@@ -41,12 +41,28 @@ def aligned_speeches(speeches: DataFrame, meetings: DataFrame, by_site: bool = T
     )
 
 
-def build(spark: SparkSession, meetings: DataFrame, speeches: DataFrame, plan: Rebuild) -> tuple[int, int]:
-    """Write both corpora; returns the rows given to each store."""
+def filled_speeches(candidates: DataFrame, official: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Supplements (``builders.supplements``) that no official speech covers, with the labels of their nearest meeting."""
+    held = meetings.withColumn("held", readable_day(F.col("date"))).where("held is not null")
+    labels = held.groupBy("held").agg(F.min(F.struct("decision", "high", "low")).alias("label"))
+    dated = candidates.withColumn("_day", readable_day(F.col("date")))
+    known = official.select("participant", readable_day(F.col("date")).alias("_day"))
+    kept = corpus.fill_gaps(dated, known, held.select("held"), "participant", "_day", "held")
+    out = kept.join(labels, kept["meeting_day"] == labels["held"], "left")
+    day = F.coalesce(F.date_format("meeting_day", "yyyyMMdd"), F.lit(""))
+    chosen = {c: F.coalesce(F.col(f"label.{c}"), F.lit(v)) for c, v in (("decision", "maintain"), ("high", "0"), ("low", "0"))}
+    return out.select(*candidates.columns, day.alias("fomc_ref_date"), *[v.alias(c) for c, v in chosen.items()], F.lit("nearest").alias("alignment_rule"))
+
+
+def build(spark: SparkSession, meetings: DataFrame, speeches: DataFrame, plan: Rebuild, supplements: DataFrame | None = None) -> tuple[int, int]:
+    """Write both corpora; returns the rows given to each store. Supplements fill the gaps of the speeches where the plan says so."""
     own = corpus.canonical(meetings, "fomc")
     if plan.years:
         own = own.where(F.col("year").between(*plan.years))
-    aligned = corpus.canonical(aligned_speeches(speeches, own, plan.by_site), "speaker")
+    aligned = aligned_speeches(speeches, own, plan.by_site)
+    if plan.fill_gaps and supplements is not None:
+        aligned = aligned.unionByName(filled_speeches(supplements, speeches, own), allowMissingColumns=True)
+    aligned = corpus.canonical(aligned, "speaker")
     if plan.years:
         aligned = aligned.where(F.col("year").between(*plan.years))
     first = store.merge_and_write(spark, plan.meetings_path, own, store.MEETING_SCHEMA, store.MEETING_KEY)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.dates import readable_day
+from plumbline.operators.store import exists
 
 
 def series_csv(spark: SparkSession, path: str, series_id: str) -> DataFrame:
@@ -32,6 +38,47 @@ def speech_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("l", r"([^/]+?)(?:\.\w+)?$", 1).alias("slug"), F.date_format(day, "yyyyMMdd").alias("date"), F.col("s").alias("participant"), F.col("t").alias("title"), F.col("l").alias("link"))
 
 
+def speech_speakers(index: DataFrame, prefix: str = "/newsevents/speech/") -> DataFrame:
+    """(slug, participant) of an index's speeches whose link is under ``prefix``, the greatest name of each slug."""
+    return index.where(F.col("link").startswith(prefix)).groupBy("slug").agg(F.max(F.trim(F.coalesce("participant", F.lit("")))).alias("participant"))
+
+
+def archives(spark: SparkSession, path: str, columns: tuple[str, ...] = ("date", "author", "title", "description", "text")) -> DataFrame:
+    """Rows of the first CSV in each landed zip archive, as strings; archives without one give none, absent columns are null."""
+    names = list(columns)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as held:
+                    first = next((n for n in held.namelist() if n.endswith(".csv")), None)
+                    if first is None:
+                        continue
+                    with held.open(first) as file:
+                        for part in pd.read_csv(file, dtype=str, keep_default_na=False, na_values=[""], chunksize=10_000):
+                            yield part.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, ", ".join(f"{n} string" for n in names))
+
+
+def cached(spark: SparkSession, cache: str, seed: str, schema: str, refresh: bool = False) -> DataFrame:
+    """The Parquet table at ``cache``; written from the seed file (Parquet) where it is absent or ``refresh`` is set."""
+    if refresh or not exists(spark, cache):
+        spark.read.schema(schema).parquet(seed).write.mode("overwrite").parquet(cache)
+    return spark.read.schema(schema).parquet(cache)
+
+
+def cached_pages(wanted: DataFrame, pages: DataFrame, key: str = "day") -> DataFrame:
+    """(key, html): per wanted day the landed statement page with the exact name, else the least name that starts alike; null if none.
+
+    ``pages`` holds (url, html) with names like ``...monetary<day>a.htm.html``.
+    """
+    named = pages.select(F.regexp_extract("url", r"monetary(\d{8})", 1).alias(key), "url", F.col("html"))
+    exact = F.col("url").rlike(r"monetary\d{8}a\.htm\.html$")
+    best = named.where(F.col(key) != "").groupBy(key).agg(F.min_by("html", F.struct(~exact, "url")).alias("html"))
+    return wanted.select(key).distinct().join(best, key, "left")
+
+
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """(url, html) of a landing folder; the file name stands for the address."""
     return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("url"), F.col("value").alias("html"))

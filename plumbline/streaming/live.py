@@ -63,23 +63,25 @@ _TERMS = {"hawkish": L.HAWKISH, "dovish": L.DOVISH}
 
 
 def live_signals(chunks: DataFrame, step_words: int = 100) -> DataFrame:
-    """Running hits of a speech that arrives in chunks (speech_id, text): one row whenever ``step_words`` more words came.
+    """Running hits of a speech that arrives in chunks (speech_id, text, optional seq): one row whenever ``step_words`` more words came.
 
-    State per speech is counts and a tail as long as the longest term, never the text.
+    Chunks of one trigger are taken in the order of ``seq`` where there is one. State per speech is counts and a tail as long as the longest term, never the text.
     """
     tail = max(len(t) for terms in _TERMS.values() for t in terms)
 
     def grow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         words, told, hawkish, dovish, end = state.get if state.exists else (0, 0, 0, 0, "")
-        for batch in batches:
-            for text in batch["text"].fillna(""):
-                lower = text.lower()
-                joined = f"{end} {lower}" if end else lower
-                for name, terms in _TERMS.items():
-                    found = sum(joined.count(t) - end.count(t) for t in terms)
-                    hawkish, dovish = (hawkish + found, dovish) if name == "hawkish" else (hawkish, dovish + found)
-                words += len(lower.split())
-                end = joined[-(tail - 1) :]
+        chunks = pd.concat(list(batches), ignore_index=True)
+        if "seq" in chunks:
+            chunks = chunks.sort_values("seq", kind="stable")
+        for text in chunks["text"].fillna(""):
+            lower = text.lower()
+            joined = f"{end} {lower}" if end else lower
+            for name, terms in _TERMS.items():
+                found = sum(joined.count(t) - end.count(t) for t in terms)
+                hawkish, dovish = (hawkish + found, dovish) if name == "hawkish" else (hawkish, dovish + found)
+            words += len(lower.split())
+            end = joined[-(tail - 1) :]
         out = []
         if words - told >= step_words:
             told = words

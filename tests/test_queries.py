@@ -40,7 +40,8 @@ def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SMALL)
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert got.count() >= 0
+        rows = got.collect()  # all columns, so that nothing is pruned away
+        assert rows and all(any(v is not None for v in r) for r in rows)
         return
     columns = sorted(got.columns)
     res = duck.execute(sql)

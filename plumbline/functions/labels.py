@@ -36,3 +36,26 @@ def weight_of(office_name: Column) -> Column:
     for k, v in known.items():
         out = F.when(office_name == k, v) if out is None else out.when(office_name == k, v)
     return out.otherwise(0.25)
+
+
+SURENESS = ((0.75, "High"), (0.55, "Medium"))
+
+
+def tone_label(score: Column, hawkish: Column, dovish: Column) -> Column:
+    """Hawkish, Dovish or Neutral from a tone score and the hits of both lists; null counts as 0."""
+    score, spread = F.coalesce(score, F.lit(0.0)), F.coalesce(hawkish, F.lit(0)) - F.coalesce(dovish, F.lit(0))
+    return F.when((spread >= 2) | (score >= 0.25), "Hawkish").when((spread <= -2) | (score <= -0.25), "Dovish").otherwise("Neutral")
+
+
+def classification(score: Column, hawkish: Column, dovish: Column) -> Column:
+    """Struct (label, confidence, sentence) without a model: the label of ``tone_label`` and how sure the hits and the score make it."""
+    label = tone_label(score, hawkish, dovish)
+    sure = F.least(F.lit(0.95), 0.5 + F.abs(hawkish - dovish) * 0.08 + F.abs(F.coalesce(score, F.lit(0.0))) * 0.35)
+    bias = F.when(label == "Hawkish", "hawkish").when(label == "Dovish", "dovish").otherwise("balanced")
+    sentence = F.concat(F.lit("Read as "), F.lower(label), F.lit(": the mix of terms is "), bias, F.lit(", with "), hawkish.cast("string"), F.lit(" hawkish and "), dovish.cast("string"), F.lit(" dovish terms."))
+    return F.struct(label.alias("label"), band(sure, SURENESS, "Low").alias("confidence"), sentence.alias("sentence"))
+
+
+def step_words(words: Column) -> Column:
+    """Words between two scored points of a text: a twenty-fourth of it, at least 80."""
+    return F.greatest(F.lit(80), F.floor(words / 24).cast("int"))

@@ -43,3 +43,19 @@ def published_day(value: Column) -> Column:
     text = F.trim(value)
     clock = F.regexp_replace(text, r"(?i)\s+\d{1,2}:\d{2}[ap]m\s+[A-Z]{2,4}$", "")
     return F.coalesce(readable_day(F.regexp_extract(text, r"^(\d{4}-?\d{2}-?\d{2})(?:T[\d:.]+(?:Z|[+-]\d{2}:?\d{2})?)?$", 1)), readable_day(clock))
+
+
+#: Forms of the addresses of a meeting's documents and of the yearly listings, in the order they are tried.
+DOCUMENT_FORMS = {
+    "statement": ("/newsevents/pressreleases/monetary{day}a.htm", "/newsevents/pressreleases/monetary{day}b.htm"),
+    "minutes": ("/monetarypolicy/fomcminutes{day}.htm", "/monetarypolicy/files/fomcminutes{day}.pdf"),
+    "press_conf": ("/mediacenter/files/FOMCpresconf{day}.pdf", "/mediacenter/files/FOMCpresconf{day}.pdf?stream=top"),
+    "speech_list": ("/newsevents/speech/{year}-speeches.htm",), "testimony_list": ("/newsevents/testimony/{year}-testimony.htm",),
+}
+
+
+def document_addresses(base: str, day: Column) -> Column:
+    """Map of document kind to the addresses to try for a day written as YYYYMMDD."""
+    year = F.substring(day, 1, 4)
+    filled = lambda form: F.replace(F.replace(F.lit(base + form), F.lit("{day}"), day), F.lit("{year}"), year)
+    return F.create_map(*[x for kind, forms in DOCUMENT_FORMS.items() for x in (F.lit(kind), F.array(*map(filled, forms)))])

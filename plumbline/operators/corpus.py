@@ -138,3 +138,30 @@ def coverage(documents: DataFrame, types: list[str], site: str, day: str) -> Dat
         every = c if every is None else every & c
     held = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(F.col(f"`{t}`.flags"), F.array().cast("array<string>")) for t in types])))
     return wide.select(site, day, *[c.alias(t) for t, c in ok.items()], every.alias("complete"), held.alias("flags"))
+
+
+#: Forms of placeholder texts.
+NARRATIVE = r"(?i)^FOMC (?:statement|placeholder) for \d{8}:"
+DERIVED, FORWARDED = r"(?i)labels from FRED", r"(?i)forward-filled"
+FAILED = r"(?i)text unavailable or unparseable|parse error|HTML unavailable after URL"
+
+
+def placeholder_masks(text: Column, kind: Column) -> dict[str, Column]:
+    """The six masks of placeholder rows; a null text has none of the forms."""
+    body, statement = F.coalesce(text, F.lit("")), F.coalesce(kind == "statement", F.lit(False))
+    narrative = body.rlike(NARRATIVE)
+    return {
+        "statement": statement, "narrative": narrative, "derived_labels": body.rlike(DERIVED), "forward_filled": body.rlike(FORWARDED), "parse_error": body.rlike(FAILED),
+        "true_stub": statement & narrative,
+    }
+
+
+def all_complete(report: DataFrame, column: str = "complete") -> DataFrame:
+    """One row: whether every row of a coverage report is complete; false for an empty report."""
+    return report.agg(F.coalesce(F.bool_and(F.coalesce(column, F.lit(False))), F.lit(False)).alias("all_complete"), F.count("*").alias("rows"))
+
+
+def counts_since(df: DataFrame, value: Column, day: Column, since: str, most: int) -> DataFrame:
+    """(value, rows, rows_since): the ``most`` frequent values (a top-k report) with their counts overall and from a day on."""
+    counted = df.groupBy(F.coalesce(value.cast("string"), F.lit("None")).alias("value")).agg(F.count("*").alias("rows"), F.count_if(F.coalesce(day >= F.lit(since), F.lit(False))).alias("rows_since"))
+    return counted.orderBy(F.desc("rows"), "value").limit(most)

@@ -102,12 +102,24 @@ def word_weights(df: DataFrame, key: str, text: str, min_documents: int = 2, max
     return raw.select(key, "term", "tf", "df", (F.col("_raw") / length).alias("weight"))
 
 
-def lexicon_hits(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """(key, positive, negative, uncertainty, score) from a (word, category) table joined to the texts' words."""
+#: Categories of a word list that are counted; the first three make the score.
+CATEGORIES = ("positive", "negative", "uncertainty", "litigious", "strong_modal", "weak_modal")
+
+
+def lexicon_hits(df: DataFrame, key: str, text: str, lexicon: DataFrame, categories: tuple[str, ...] = CATEGORIES[:3]) -> DataFrame:
+    """(key, hits of each category, score) from a (word, category) table joined to the texts' words; a word may be in several categories."""
     tokens = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{L}\p{N}]+", " ")), " ")
     exploded = df.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
     hits = exploded.join(lexicon.distinct(), "word").groupBy(key).agg(
-        *[F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).alias(c) for c in ("positive", "negative", "uncertainty")]
+        *[F.coalesce(F.sum(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).alias(c) for c in categories]
     )
-    out = df.select(key).join(hits, key, "left").na.fill(0, ["positive", "negative", "uncertainty"])
+    out = df.select(key).join(hits, key, "left").na.fill(0, list(categories))
     return out.withColumn("score", S.lexicon_score(F.col("positive"), F.col("negative"), F.col("uncertainty")))
+
+
+def forecast(df: DataFrame, day: str, key: str, directions: dict[str, str], relevance: str, count: int = 60) -> DataFrame:
+    """One row over the ``count`` newest scored documents: mean probabilities, the leading direction (the first listed of equal ones), mean relevance."""
+    recent = df.where(F.col(day).isNotNull()).orderBy(F.desc(day), F.desc(key)).limit(count)
+    means = recent.agg(F.count("*").alias("documents"), *[F.avg(c).alias(f"mean_{n}") for n, c in directions.items()], F.avg(relevance).alias("mean_relevance"))
+    ranked = F.array_max(F.array(*[F.struct(F.col(f"mean_{n}").alias("p"), F.lit(-i).alias("order"), F.lit(n).alias("n")) for i, n in enumerate(directions)]))
+    return means.withColumn("leading", F.when(F.col("documents") > 0, ranked["n"]))

@@ -54,6 +54,19 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType, years: tup
     return df.withColumn("quality_flags", F.coalesce("quality_flags", F.array().cast("array<string>"))).select(schema.fieldNames())
 
 
+def load_corpus(spark: SparkSession, path: str, schema: T.StructType, columns: list[str], years: tuple[int, int] | None = None) -> DataFrame:
+    """The stored corpus with the ``columns`` it must have; an absent or empty store, or a missing column, is an error that names it."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no corpus at {path}")
+    missing = [c for c in columns if c not in schema.fieldNames()]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    df = read_corpus(spark, path, schema, years)
+    if df.isEmpty():
+        raise ValueError(f"the corpus at {path} is empty")
+    return df
+
+
 def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key: the first in ``order``."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -106,3 +106,24 @@ def document_addresses(spark, d):
 @query(f"SELECT speech_id, greatest(80, {O.words('text_content')} // 24)::INT AS step FROM speaker")
 def timeline_steps(spark, d):
     return table(spark, d, "speaker", "speech_id", "text_content").select("speech_id", labels.step_words(T.word_count(F.col("text_content"))).alias("step"))
+
+
+@query(f"""SELECT speech_id, strftime(d, '%Y-%m-%d') || ' | ' || coalesce(nullif(trim(participant), ''), 'unknown') || ' | ' || coalesce(site, 'unknown') AS label FROM ({SPEECH})
+WHERE d IS NOT NULL ORDER BY d DESC, speech_id DESC LIMIT 250""")
+def recent_labels(spark, d):
+    """The 250 newest speeches as one line each."""
+    s = _speeches(spark, d, "participant").where("day is not null").orderBy(F.desc("day"), F.desc("speech_id")).limit(250)
+    who, where = F.coalesce(F.nullif(F.trim("participant"), F.lit("")), F.lit("unknown")), F.coalesce("site", F.lit("unknown"))
+    return s.select("speech_id", F.concat_ws(" | ", F.date_format("day", "yyyy-MM-dd"), who, where).alias("label"))
+
+
+_PTS = "list_distinct(list_concat(range(least(60, n), n + 1, 40), [n]))"
+
+
+@query(f"""WITH p AS (SELECT speech_id, list_sort({_PTS}) AS pts, n FROM (SELECT speech_id, {O.words('text_content')} AS n FROM speaker) WHERE n > 0),
+t AS (SELECT speech_id, CASE WHEN len(pts) > 6 THEN list_transform(list_distinct(list_transform(range(6), lambda i: round_even(i * (len(pts) - 1) / 5, 0)::INT)), lambda i: pts[i + 1]) ELSE pts END AS pts FROM p)
+SELECT speech_id, unnest(pts)::INT AS prefix_words FROM t""")
+def thinned_points(spark, d):
+    """Scored points of every speech, at most about six of them."""
+    s = table(spark, d, "speaker", "speech_id", "text_content").select("speech_id", T.word_count(F.col("text_content")).alias("total"))
+    return s.select("speech_id", F.explode(signals.timeline_points(F.col("total"), 60, 40, 6)).alias("prefix_words"))

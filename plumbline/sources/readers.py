@@ -102,3 +102,11 @@ def news_json(spark: SparkSession, path: str) -> DataFrame:
     schema = "source string, title string, url string, published_at string, summary string, sentiment_score double, sentiment_label string, topic_query string"
     rows = spark.read.schema(schema).json(path)
     return rows.where(F.col("url").isNotNull() & (F.trim("url") != "") & ~F.coalesce(F.contains(F.lower("url"), F.lit("removed.com")), F.lit(False)))
+
+
+def all_news(feeds: list[DataFrame]) -> DataFrame:
+    """Articles of every topic and source in one frame, columns by name; no feed is an error."""
+    out = feeds[0]
+    for feed in feeds[1:]:
+        out = out.unionByName(feed, allowMissingColumns=True)
+    return out

@@ -108,6 +108,15 @@ def test_store_writes_many_files_a_year_and_logs(spark, tmp_path):
     store.merge_and_write(spark, path, df.withColumn("content_hash", F.lit("new")).limit(1), store.MEETING_SCHEMA, store.MEETING_KEY)
     store.restore(spark, str(tmp_path / "copy"), path)
     assert store.read_corpus(spark, path, store.MEETING_SCHEMA).count() == 41
+    assert store.load_corpus(spark, path, store.MEETING_SCHEMA, ["date", "decision"], (2020, 2020)).count() == 40
+    assert "year=2020" in str(store.read_corpus(spark, path, store.MEETING_SCHEMA, (2020, 2020)).inputFiles()) and store.read_corpus(spark, path, store.MEETING_SCHEMA, (1990, 1999)).count() == 0
+    plan = store.read_corpus(spark, path, store.MEETING_SCHEMA, (2020, 2020))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    for wrong, columns in ((str(tmp_path / "absent"), ["date"]), (path, ["nothing"])):
+        with pytest.raises((FileNotFoundError, ValueError)):
+            store.load_corpus(spark, wrong, store.MEETING_SCHEMA, columns)
+    with pytest.raises(ValueError):
+        store.load_corpus(spark, path, store.MEETING_SCHEMA, ["date"], (1990, 1999))
     failures = spark.createDataFrame([("r", "u", 404, 'a "b"\nc', "now"), ("r", "v", None, None, None)], "run_id string, url string, http_status int, message string, occurred_at string")
     store.write_errors(failures, str(tmp_path / "e"))
     store.write_errors(failures, str(tmp_path / "e"))

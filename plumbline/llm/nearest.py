@@ -4,8 +4,9 @@ The right side is sharded by entity and by spans of ``SHARD_DAYS`` days whose ed
 tolerance. Each shard holds its distinct days as one sorted array, at most ``SHARD_DAYS`` plus twice the
 tolerance long, and a piecewise-linear model fitted over it whose predicted positions are wrong by at
 most ``ERROR`` places. A left record computes its shard, evaluates the segment its day falls into and
-searches the few array places around the prediction, so the neighbour found is exact. Left rows of one
-entity spread over its spans and over ``SALTS`` copies of each shard, so no entity is one task.
+searches the few array places around the prediction, so the neighbour found is exact. The index is broadcast when
+its measured bytes fit; beyond that left rows of one entity spread over its spans and over ``SALTS`` copies of each
+shard, so no entity is one task.
 
 Defined results: rows of either side with a null entity or day match nothing; of two equally near days
 the earlier is taken; repeated left rows each get their match; repeated right days count once; an empty
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.runtime import ship
+from plumbline.runtime import BROADCAST_BYTES, cut, ship
 
 SHARD_DAYS = 1024
 ERROR = 3
@@ -82,8 +83,10 @@ def nearest_in_time(
 ) -> DataFrame:
     """(id, day): each left row with the nearest day of ``right`` of its entity; rows without one are left out. Days are day numbers."""
     ship(left.sparkSession)
-    index = learned_index(right, right_entity, right_day, tolerance)
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    index = cut(learned_index(right, right_entity, right_day, tolerance))
+    size = index.agg(F.sum(64 + 4 * F.size("keys") + 20 * F.size("segments"))).first()[0] or 0
+    small = size <= BROADCAST_BYTES
+    shards = F.broadcast(index) if small else index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     probes = left.where(F.col(left_entity).isNotNull() & F.col(left_day).isNotNull()).select(
         F.col(id_col).alias("id"),
         F.col(left_entity).alias("entity"),
@@ -92,7 +95,7 @@ def nearest_in_time(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"),
     )
     return (
-        probes.join(salted, ["entity", "shard", "salt"])
+        probes.join(shards, ["entity", "shard"] if small else ["entity", "shard", "salt"])
         .select(F.col("id").alias(id_col), _search(F.col("keys"), F.col("segments"), F.col("at"), tolerance).alias("day"))
         .where(F.col("day").isNotNull())
     )

@@ -26,6 +26,13 @@ def test_nearest_edges_ties_and_nulls(spark):
     assert _nearest(spark, [], right) == {} and _nearest(spark, left, []) == {}
 
 
+def test_nearest_beyond_the_broadcast_bound_agrees(spark, monkeypatch):
+    left, right = [(i, "ab"[i % 2], i * 7 % 400) for i in range(80)], [("a", i * 37 % 400) for i in range(20)] + [("b", 5)]
+    small = _nearest(spark, left, right)
+    monkeypatch.setattr(nearest, "BROADCAST_BYTES", 0)
+    assert _nearest(spark, left, right) == small and small
+
+
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-3000, 3000), max_size=200, unique=True), st.integers(0, 2**30))
 def test_nearest_equals_brute_force(spark, days, seed):

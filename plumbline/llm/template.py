@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -46,7 +47,7 @@ _ROW_BYTES = 33
 _MONTH = r"(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)\.?"
 _MASK_DIGITS = re.compile(r"[0-9]+")
 _MASK_MONTH = re.compile(rf"\b{_MONTH}(?= #|,|$)|(?<=# ){_MONTH}(?= #|\b)")
-_BLANKS = re.compile(r"[^\S\n]+")
+_BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 _STAMP = re.compile(r"(?:[\w ]{2,24}: ?)?(?:# @,? #|@ #,? #|#[/.-]#[/.-]#)(?:,? (?:at )?#:#(?: ?[ap]m)?)?")
 _BYLINE = re.compile(
     r"(?:speech|remarks|address|lecture|statement|testimony|keynote|comments|opening remarks|introductory remarks) (?:by|of|from) .{3,90}"
@@ -61,9 +62,9 @@ _DATED = re.compile(r"#\.? @ [-–—:] .{3,100}")
 
 
 def skeletons(text: str) -> list[str]:
-    """The masked lines of a text, in order; blank lines are empty strings."""
+    """The masked lines of a text, in order (months in short lines only); blank lines are empty strings."""
     flat = _BLANKS.sub(" ", _MASK_DIGITS.sub("#", text.lower()))
-    return [_MASK_MONTH.sub("@", x.strip()) if "#" in x else x.strip() for x in flat.split("\n")]
+    return [_MASK_MONTH.sub("@", x.strip()) if "#" in x and len(x) < LONG_LINE else x.strip() for x in flat.split("\n")]
 
 
 def _key(line: str) -> int:
@@ -88,25 +89,35 @@ def _entry(line: str) -> bool:
     return len(line) >= 8 and line[-1] not in ".!?;:" and "#" not in line and 3 <= line.count(" ") <= 15
 
 
+@lru_cache(1 << 15)
+def _marks(line: str) -> tuple[int, int | None, int | None, bool, bool, tuple[int, ...]]:
+    """(key, key of the frame, key of the label, whether a title follows the label, whether it is a title, keys of the ends) of a short line."""
+    words, label = line.split(" "), _label(line)
+    frame = _frame(line, words)
+    ends = (_key(f"{words[0]} {words[1]}\u0001"), _key(f"\u0001{words[-2]} {words[-1]}")) if len(words) >= 4 else ()
+    return (
+        _key(line), _key(frame) if frame else None, _key(label) if label else None, bool(label) and _entry(line[len(label) + 1 :]), _entry(line), ends
+    )
+
+
 def _tokens_of(text: str) -> dict[int, tuple[int, bool, bool]]:
     """The distinct tokens of a page, each with its first position, whether its line is long and whether titles fill its slot."""
     own: dict[int, tuple[int, bool, bool]] = {}
     lines = [x for x in skeletons(text) if x]
-    titles = [len(x) < LONG_LINE and _entry(x) for x in lines] + [False] * ENTRIES
-    for at, line in enumerate(lines):
-        if len(line) >= LONG_LINE:
-            own.setdefault(_key(line), (at, True, False))
+    marks = [_marks(x) if len(x) < LONG_LINE else None for x in lines]
+    titles = [m is not None and m[4] for m in marks] + [False] * ENTRIES
+    for at, m in enumerate(marks):
+        if m is None:
+            own.setdefault(_key(lines[at]), (at, True, False))
             continue
-        own.setdefault(_key(line), (at, False, all(titles[at + 1 : at + 1 + ENTRIES])))
-        words = line.split(" ")
-        if len(words) >= 4:
-            own.setdefault(_key(f"{words[0]} {words[1]}\u0001"), (at, False, False))
-            own.setdefault(_key(f"\u0001{words[-2]} {words[-1]}"), (at, False, False))
-            if len(words) >= 5:
-                own.setdefault(_key(_frame(line, words)), (at, False, False))
-            label = _label(line)
-            if label:
-                own.setdefault(_key(label), (at, False, _entry(line[len(label) + 1 :])))
+        key, frame, label, labelled, _, ends = m
+        own.setdefault(key, (at, False, all(titles[at + 1 : at + 1 + ENTRIES])))
+        for end in ends:
+            own.setdefault(end, (at, False, False))
+        if frame is not None:
+            own.setdefault(frame, (at, False, False))
+        if label is not None and ends:
+            own.setdefault(label, (at, False, labelled))
     return own
 
 
@@ -171,11 +182,12 @@ def _title_like(line: str) -> bool:
     return 3 <= len(line) <= 110 and line[-1] not in ".!?;" and (line[0] != "#" or _DATED.fullmatch(line) is not None) and len(line.split()) >= 3
 
 
+@lru_cache(1 << 15)
 def _form(line: str, raw: str) -> bool:
     """Whether a short line's slot holds no more than a stamp, dated entry, byline, path, menu, tags or consent notice."""
     return bool(
         _STAMP.fullmatch(line) or _DATED.fullmatch(line) or _PATH.fullmatch(line) or (_BYLINE.fullmatch(line) and line[-1] not in ".!?")
-        or _TAGS.fullmatch(raw.strip()) or _CONSENT.fullmatch(line) or _menu(raw.strip())
+        or _TAGS.fullmatch(raw) or _CONSENT.fullmatch(line) or _menu(raw)
     )
 
 
@@ -187,17 +199,16 @@ def furniture_of(text: str, template: set[int], opening: set[int] | frozenset[in
     for i, line in enumerate(lines):
         if not line:
             continue
-        key = _key(line)
+        if len(line) >= LONG_LINE:
+            kind[i] = "template" if _key(line) in template else ""
+            continue
+        key, frame, label, labelled, _, _ = _marks(line)
         if key in opening:
             kind[i] = "heading"
-        elif key in template:
+        elif key in template or frame in template:
             kind[i] = "template"
-        elif len(line) < LONG_LINE:
-            frame, label = _frame(line, line.split(" ")), _label(line)
-            if frame and _key(frame) in template:
-                kind[i] = "template"
-            elif (label and _key(label) in opening and _entry(line[len(label) + 1 :])) or _form(line, raw[i]):
-                kind[i] = "form"
+        elif (labelled and label in opening) or _form(line, raw[i].strip()):
+            kind[i] = "form"
     shown = [i for i, x in enumerate(lines) if x]
     prose = [i for i in shown if not kind[i] and (len(lines[i]) >= LONG_LINE or (len(lines[i]) > 60 and lines[i][-1] in ".!?"))]
     first = prose[0] if prose else len(lines)

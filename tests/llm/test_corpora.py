@@ -168,6 +168,8 @@ def test_repeated_lines_equal_brute_force(spark):
             if support >= 10 and support >= 0.45 * len(docs):
                 want |= {(i, n) for i, ks in docs.items() for n, k in enumerate(ks, 1) if k == key}
     assert got == want and want
+    deeper = {(r["id"], r["line_no"]) for r in lines.repeated_lines(df, F.col("site"), "id", "text", 10, 0.45, max_length=None).collect()}
+    assert deeper == got
 
 
 def test_frequent_sequences_and_cleaning(spark):

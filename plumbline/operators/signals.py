@@ -82,8 +82,9 @@ def excerpts(df: DataFrame, key: str, text: str, terms: tuple[str, ...], count:
 def terms_of(text: Column) -> Column:
     """Words of two letters, digits or underscores and more, in lower case, and each pair of words that follow each other."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    pairs = F.transform(F.slice(words, 2, F.size(words)), lambda w, i: F.concat_ws(" ", F.get(words, i), w))
-    return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
+    pairs = lambda own: F.transform(F.slice(own, 2, F.size(own)), lambda w, i: F.concat_ws(" ", F.get(own, i), w))
+    # bound once, so that the pattern runs once a text and not once a word
+    return F.transform(F.array(words), lambda own: F.when(F.size(own) > 1, F.concat(own, pairs(own))).otherwise(own))[0]
 
 
 def word_weights(df: DataFrame, key: str, text: str, min_documents: int = 2, max_share: float = 0.95, salts: int = 16) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import lexicons as L
 from plumbline.functions import scores as S
 from plumbline.functions import text as T
+from plumbline.runtime import ship
+
+#: Characters of the documents that ``word_weights`` counts and weighs together.
+BLOCK_CHARACTERS = 4_000_000
 
 
 def expand_prefixes(df: DataFrame, text: str, percents: list[int]) -> DataFrame:
@@ -79,28 +86,71 @@ def excerpts(df: DataFrame, key: str, text: str, terms: tuple[str, ...], count:
     return found.withColumn("rank", rank).where(F.col("rank") <= count).select(key, "rank", "matched", "sentence")
 
 
+def words_of(text: Column) -> Column:
+    """Words of two letters, digits or underscores and more, in lower case, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
 def terms_of(text: Column) -> Column:
-    """Words of two letters, digits or underscores and more, in lower case, and each pair of words that follow each other."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    """The words of a text and each pair of words that follow each other."""
     pairs = lambda own: F.transform(F.slice(own, 2, F.size(own)), lambda w, i: F.concat_ws(" ", F.get(own, i), w))
     # bound once, so that the pattern runs once a text and not once a word
-    return F.transform(F.array(words), lambda own: F.when(F.size(own) > 1, F.concat(own, pairs(own))).otherwise(own))[0]
+    return F.transform(F.array(words_of(text)), lambda own: F.when(F.size(own) > 1, F.concat(own, pairs(own))).otherwise(own))[0]
 
 
-def word_weights(df: DataFrame, key: str, text: str, min_documents: int = 2, max_share: float = 0.95, salts: int = 16) -> DataFrame:
+def _counted(table: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, terms, key index, term index, times) of a (_block, key, _words) table: its words and pairs of words that follow each other.
+
+    Rows of one key are one document; pairs do not cross rows. Words are numbers here, and a pair is a number made of two.
+    """
+    keys = table.column(1).combine_chunks().dictionary_encode(null_encoding="encode")
+    lists = table.column(2).combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    word, many = words.indices.to_numpy().astype(np.int64), max(len(words.dictionary), 1)
+    paired = np.flatnonzero(row[1:] == row[:-1])
+    code = np.concatenate([word, (word[paired] + 1) * many + word[paired + 1]])
+    code, term = np.unique(code, return_inverse=True)
+    held, times = np.unique(keys.indices.to_numpy()[np.concatenate([row, row[paired]])] * np.int64(max(len(code), 1)) + term, return_counts=True)
+    text, second = words.dictionary.cast(pa.string()), code[code >= many]
+    pairs = pc.binary_join_element_wise(text.take(pa.array(second // many - 1)), text.take(pa.array(second % many)), " ")
+    terms = pa.concat_arrays([text.take(pa.array(code[code < many])), pairs])
+    return keys.dictionary, terms, *np.divmod(held, max(len(code), 1)), times
+
+
+def word_weights(df: DataFrame, key: str, text: str, min_documents: int = 2, max_share: float = 0.95) -> DataFrame:
     """(key, term, tf, df, weight): smoothed tf-idf with log term frequency, unit length per document, over words and pairs of words.
 
-    Terms in fewer than ``min_documents`` or in more than ``max_share`` of the documents are left out. A term that is
-    in most documents meets its count on term and salt, so it is not one task.
+    Terms in fewer than ``min_documents`` or in more than ``max_share`` of the documents are left out. Documents are
+    dealt by their keys to blocks of about ``BLOCK_CHARACTERS``. A block sends each of its terms once, with the number of
+    its documents that hold it, and gets each back once with the number of all: neither a table of all terms nor a row
+    for each word of a document is ever moved, and a term that is in most documents is a row a block.
     """
-    counts = df.select(key, F.explode(terms_of(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    total = df.count()
-    spread = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_documents) & (F.col("df") <= max_share * total))
-    spread = spread.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = counts.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    raw = salted.join(spread, ["term", "_salt"]).withColumn("_raw", (1 + F.log("tf")) * (F.log((1.0 + total) / (1 + F.col("df"))) + 1))
-    length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "tf", "df", (F.col("_raw") / length).alias("weight"))
+    ship(df.sparkSession)
+    total, size = df.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    block = F.pmod(F.xxhash64(key), F.lit(size // BLOCK_CHARACTERS + 1)).cast("int")
+    placed = df.select(block.alias("_block"), F.col(key), F.col(text).cast("string").alias("_text")).repartition("_block")
+    placed = placed.select("_block", key, words_of(F.col("_text")).alias("_words")).groupBy("_block")
+
+    def held(table: pa.Table) -> pa.Table:
+        _, terms, _, term, _ = _counted(table)
+        block = pa.repeat(table.column(0)[0], len(terms))
+        return pa.table({"_block": block, "term": terms, "n": np.bincount(term, minlength=len(terms)).astype(np.int64)})
+
+    def weighed(table: pa.Table, spread: pa.Table) -> pa.Table:
+        keys, terms, at, term, tf = _counted(table)
+        place = pc.index_in(terms, spread.column("term").combine_chunks().cast(pa.string())).fill_null(-1).to_numpy()[term]
+        at, term, tf, place = (x[place >= 0] for x in (at, term, tf, place))
+        documents = spread.column("df").to_numpy()[place]
+        raw = (1 + np.log(tf)) * (np.log((1.0 + total) / (1 + documents)) + 1)
+        length = np.sqrt(np.bincount(at, raw * raw, len(keys)))
+        return pa.table([keys.take(pa.array(at)), terms.take(pa.array(term)), tf.astype(np.int64), documents, raw / length[at]], names=[key, "term", "tf", "df", "weight"])
+
+    counts = placed.applyInArrow(held, "_block int, term string, n bigint")
+    spread = counts.select("_block", "term", F.sum("n").over(Window.partitionBy("term")).alias("df"))
+    spread = spread.where((F.col("df") >= min_documents) & (F.col("df") <= max_share * total)).groupBy("_block")
+    kind = df.schema[key].dataType.simpleString()
+    return placed.cogroup(spread).applyInArrow(weighed, f"`{key}` {kind}, term string, tf bigint, df bigint, weight double")
 
 
 #: Categories of a word list that are counted; the first three make the score.

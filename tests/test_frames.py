@@ -197,3 +197,17 @@ def test_joins_beyond_the_broadcast_bound_agree(spark, monkeypatch):
     for module in (temporal,):
         monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
     assert run() == small and len(small[0]) == 48 and corpus is not None
+
+
+def test_word_weights_move_no_table_of_all_terms(spark, monkeypatch):
+    texts = ["a rates rose again", "Rates fell; rates rose", None, "", "the rates fell", "rose again"]
+    df = spark.createDataFrame([(i if i != 4 else None, t) for i, t in enumerate(texts)], "id long, text string").withColumn("n", F.lit("clash"))
+    found = signals.word_weights(df, "id", "text")
+    want = {(0, "rates", 1, 3), (0, "rose", 1, 3), (0, "again", 1, 2), (0, "rates rose", 1, 2), (0, "rose again", 1, 2), (1, "rates", 2, 3), (1, "fell", 1, 2), (1, "rose", 1, 3), (1, "rates fell", 1, 2), (1, "rates rose", 1, 2)}
+    want |= {(None, "rates", 1, 3), (None, "fell", 1, 2), (None, "rates fell", 1, 2), (5, "rose", 1, 3), (5, "again", 1, 2), (5, "rose again", 1, 2)}
+    rows = found.collect()
+    assert {(r["id"], r["term"], r["tf"], r["df"]) for r in rows} == want and len(rows) == len(want)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(signals, "BLOCK_CHARACTERS", 20)
+    assert {tuple(r) for r in signals.word_weights(df, "id", "text").collect()} == {tuple(r) for r in rows}
+    assert signals.word_weights(df, "id", "text", min_documents=9).count() == signals.word_weights(df.where("false"), "id", "text").count() == 0

@@ -1,6 +1,6 @@
 """Template residue and error pages: character n-gram models over filler, notices and prose.
 
-``residue_scores`` fits hashed character 4-gram models, slides likelihood-ratio windows over
+``residue_scores`` fits hashed character 4-gram models on all texts, slides likelihood-ratio windows over
 each text and reports which share of it the windows of filler or of notices cover, and whether
 an unfilled placeholder was localised. ``residue_records`` keeps the records to exclude.
 
@@ -12,7 +12,7 @@ than the id and the text are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from plumbline.runtime import ship
 
-from .sampling import hash_sample, hash_step
-
 TABLE_BITS = 17
 WINDOW = 28
 #: Mean log likelihood ratio a window must reach.
@@ -30,15 +28,10 @@ WINDOW_LR = 0.9
 #: Steps of a log likelihood ratio of 1 in the tables.
 UNIT = 64
 TEMPLATE_LR = 3.0
-#: A 4-gram of the texts a round takes over counts so often at most.
-MOST_PER_GRAM = 20
+#: A 4-gram of the texts a round takes over counts so often at most; of more than ``PER_TEXTS`` texts, so often for each that many.
+MOST_PER_GRAM, PER_TEXTS = 20, 1500
 #: Share of a text that windows of filler and notices must cover for the whole text to count.
 WHOLE_TEXT = 0.6
-#: The natural-prose model is fitted on about this many rows, and at most this many characters, of the corpus;
-#: longer texts than ``SAMPLE_TEXT`` are judged like all others, but not fitted on.
-SAMPLE_ROWS = 1500
-SAMPLE_CHARACTERS = 8_000_000
-SAMPLE_TEXT = 1_000_000
 SLICE_BYTES = 1_000_000
 
 #: Seeds: filler as typesetters, editors and office templates ship it; fixed values, extended by the rounds of ``Models``.
@@ -151,6 +144,27 @@ def _counts(raw: bytes) -> np.ndarray:
     return np.bincount(_buckets(raw), minlength=1 << TABLE_BITS).astype(np.float64) if len(raw) > 3 else np.zeros(1 << TABLE_BITS)
 
 
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """(start, end) of stretches of texts that are dealt with together, of about ``SLICE_BYTES``."""
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) < SLICE_BYTES):
+            size += len(texts[end])
+            end += 1
+        yield start, end
+        start = end
+
+
+def _counts_of(texts: list[bytes]) -> np.ndarray:
+    """Sum of the counts of each text between blanks, the same however the texts are dealt out."""
+    out, pad = np.zeros(1 << TABLE_BITS), b"    "
+    for start, end in _slices(texts):
+        out += _counts(pad + pad.join(texts[start:end]) + pad)
+        out[_buckets(pad)] -= 1
+    return out
+
+
 def _logp(counts: np.ndarray, spread: float = 0.15) -> np.ndarray:
     total = max(counts.sum(), 1.0)
     return np.log((1 - spread) * counts / total + spread / counts.size)
@@ -159,41 +173,37 @@ def _logp(counts: np.ndarray, spread: float = 0.15) -> np.ndarray:
 class Models:
     """Log likelihood ratios against natural prose in fixed-size tables of hashed 4-grams.
 
-    Filler and notices are two models; a window is scored by their mixture, in ``UNIT`` steps. Sample
-    texts that the first rounds find covered leave the prose model and join the class that covers them.
+    Filler and notices are two models; a window is scored by their mixture, in ``UNIT`` steps. Texts
+    that the first rounds find covered leave the prose model and join the class that covers them.
     """
 
-    def __init__(self, prose: list[str]):
+    def __init__(self, prose: list[str], held: Callable[[Models | None, float], tuple[np.ndarray, int]] | None = None):
+        """Fit on ``prose``, or on texts that lie elsewhere: ``held`` is ``taken_over`` of them."""
+        texts = [t.encode() for t in prose]
+        held = held or (lambda models, least: taken_over(models, least, texts))
         base = {"filler": _counts(FILLER.encode()), "notice": _counts(NOTICES.encode())}
         template = _counts(_template_seeds().encode())
-        texts = [t.encode() for t in prose]
-        kept = texts
-        for least in (0.25, 0.35, 0.5):
-            natural = _logp(_counts(b"    ".join(kept) + b"    "))
+        counts, size = held(None, 0.0)
+        every, natural = counts[0], counts[0]
+        for least in (0.25, 0.35, None):
+            prose_logp = _logp(natural)
             logs = {k: _logp(c) for k, c in base.items()}
-            mixed = np.logaddexp(logs["filler"], logs["notice"]) - np.log(2) - natural
+            mixed = np.logaddexp(logs["filler"], logs["notice"]) - np.log(2) - prose_logp
             self.filler_leads = logs["filler"] > logs["notice"]
-            pair = np.stack([mixed, _logp(template) - natural], 1) * UNIT
+            pair = np.stack([mixed, _logp(template) - prose_logp], 1) * UNIT
             self.pairs = np.ascontiguousarray(np.clip(np.round(pair), -2000, 2000).astype("<i2")).view("<i4").ravel()
-            if not texts or least == 0.5:
+            if not size or least is None:
                 break
-            share, filler, _ = self.score(texts)
-            taken = (filler >= least) | (share >= 0.8)
-            for name, own in (("filler", taken & (filler > share / 2)), ("notice", taken & (filler <= share / 2))):
-                if own.any():
-                    found = _counts(b"    ".join(t for t, o in zip(texts, own) if o) + b"    ")
-                    base[name] = base[name] + np.minimum(found, MOST_PER_GRAM)
-            kept = [t for t, w in zip(texts, taken) if not w]
+            found, _ = held(self, least)
+            for name, own in zip(("filler", "notice"), found):
+                base[name] = base[name] + np.minimum(own * min(1, PER_TEXTS / size), MOST_PER_GRAM)
+            natural = every - found.sum(0)
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Share covered by residue windows, the part of it that is filler, and whether a template window was found."""
         share, filler, template = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        pad, start = b" " * (WINDOW + 4), 0
-        while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) < SLICE_BYTES):
-                size += len(texts[end])
-                end += 1
+        pad = b" " * (WINDOW + 4)
+        for start, end in _slices(texts):
             part = texts[start:end]
             idx = _buckets(pad.join(part) + pad)
             lengths = np.array([len(t) for t in part])
@@ -212,28 +222,47 @@ class Models:
                 covered = np.cumsum(marks - ends)[: lengths[d]] > 0
                 share[start + d] = covered.mean() if lengths[d] else 0
                 filler[start + d] = share[start + d] * self.filler_leads[idx[lo : lo + lengths[d]]][covered].mean() if covered.any() else 0
-            start = end
         return share, filler, template
 
 
+def taken_over(models: Models | None, least: float, texts: list[bytes]) -> tuple[np.ndarray, int]:
+    """4-gram counts, by class, of the texts that a round takes over as filler and as notices, and how many texts there are; of all texts without models."""
+    if models is None:
+        return _counts_of(texts)[None], len(texts)
+    share, filler, _ = models.score(texts)
+    taken, leads = (filler >= least) | (share >= 0.8), filler > share / 2
+    return np.stack([_counts_of([texts[i] for i in np.flatnonzero(taken & own)]) for own in (leads, ~leads)]), len(texts)
+
+
 def fit_models(df: DataFrame, id_col: str, text_col: str) -> Models:
-    """Fit the models; prose comes from about ``SAMPLE_ROWS`` rows, whole texts of at most ``SAMPLE_CHARACTERS`` in all.
+    """Fit the models on all texts that are not blank, whole: one pass counts, one each round scores.
 
-    Of the sample those rows stay whose ids hash lowest, so the choice does not depend on the partitioning; only
-    lengths reach the driver before it is made.
+    Only sums of counts reach the driver, at most two tables of them a pass, however many texts there are.
     """
-    ship(df.sparkSession)
-    rows = hash_sample(df, id_col, SAMPLE_ROWS).select(F.col(text_col).cast("string").alias("t"), hash_step(id_col).alias("h"))
-    rows = rows.where(F.length(F.trim("t")).between(1, SAMPLE_TEXT))
-    size = 0
-    last = None
-    for h, n in sorted(rows.select("h", F.length("t")).collect()):
-        size += n
-        if size > SAMPLE_CHARACTERS:
-            break
-        last = h
-    texts = [] if last is None else [t for _, t in sorted(rows.where(F.col("h") <= last).select("h", "t").collect())]
-    return Models(texts)
+    spark = df.sparkSession
+    ship(spark)
+    text = F.col(text_col).cast("string")
+    rows = df.select(text.alias("t")).where(F.length(F.trim(text)) > 0)
+    width = 1 << TABLE_BITS
+
+    def held(models: Models | None, least: float) -> tuple[np.ndarray, int]:
+        shared = spark.sparkContext.broadcast(models)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, size = np.zeros(2 * width), 0
+            for b in batches:
+                counts, n = taken_over(shared.value, least, [t.encode() for t in b["t"]])
+                total[: counts.size] += counts.ravel()
+                size += n
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"at": np.append(at, 2 * width), "n": np.append(total[at], size).astype(np.int64)})
+
+        sums = rows.mapInPandas(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros(2 * width + 1)
+        total[sums["at"].to_numpy()] = sums["n"].to_numpy()
+        return total[:-1].reshape(2, width), int(total[-1])
+
+    return Models([], held)
 
 
 def judge(models: Models, texts: list[str]) -> dict[str, np.ndarray]:

@@ -244,3 +244,15 @@ def test_layout_decides(monkeypatch):
 @pytest.mark.parametrize("text", [WRAPPED * 3, (WRAPPED * 3).upper(), LEAD * 8 + "\nItem | A | B\nRow | 1 | 2\nRow | 3 | 4", "\n".join(f"- {LEAD}" for _ in range(5))])
 def test_rows_among_prose_leave_it_prose(text):
     assert quality.describe(text)[-1] == "prose"
+
+
+def test_residue_models_are_fitted_on_all_texts(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(6)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=12)) + "." for _ in range(4000)] + [t for t in UNSEEN for _ in range(3)] + [PROSE * 10_000]
+    df = frame(spark, [(i, t) for i, t in enumerate(texts)] + [(9001, None), (9002, " ")])
+    want = residue.Models(texts)
+    for parts in (1, 7):
+        got = residue.fit_models(df.repartition(parts), "id", "text")
+        assert np.array_equal(got.pairs, want.pairs) and np.array_equal(got.filler_leads, want.filler_leads)
+    assert residue.fit_models(df.where("false"), "id", "text").score([b"x"])[0][0] == 0

@@ -256,3 +256,11 @@ def test_residue_models_are_fitted_on_all_texts(spark):
         got = residue.fit_models(df.repartition(parts), "id", "text")
         assert np.array_equal(got.pairs, want.pairs) and np.array_equal(got.filler_leads, want.filler_leads)
     assert residue.fit_models(df.where("false"), "id", "text").score([b"x"])[0][0] == 0
+
+
+def test_long_texts_count_for_what_is_not_prose(spark):
+    table = "- Service unavailable\n- Server error\n- Requested resource not found\n- Bad gateway\n"
+    subject = "The panel on markets spoke of service unavailable, server error, requested resource not found, bad gateway again. " * 15_000
+    df = frame(spark, [(1, table), (2, subject), (3, None)] + [(100 + i, PROSE * 4) for i in range(40)])
+    assert [r["id"] for r in quality.not_prose(df, "id", "text").collect()] == [1]
+    assert quality.not_prose(df.where("id <> 2"), "id", "text").count() == 0

@@ -205,7 +205,7 @@ def quality_statistics(df: DataFrame, id_col: str = "fomc_id", text_col: str = "
 
 
 def not_prose(df: DataFrame, id_col: str = "fomc_id", text_col: str = "text_content") -> DataFrame:
-    """Ids of the texts that are mostly not sentences and are no template residue or error page."""
+    """Ids of the texts that are mostly not sentences and are no template residue or error page, by models fitted on all texts."""
     models = df.sparkSession.sparkContext.broadcast(residue.fit_models(df, id_col, text_col))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -264,3 +264,14 @@ def test_long_texts_count_for_what_is_not_prose(spark):
     df = frame(spark, [(1, table), (2, subject), (3, None)] + [(100 + i, PROSE * 4) for i in range(40)])
     assert [r["id"] for r in quality.not_prose(df, "id", "text").collect()] == [1]
     assert quality.not_prose(df.where("id <> 2"), "id", "text").count() == 0
+
+
+def test_rows_that_a_sample_leaves_out_count_for_what_is_not_prose(spark):
+    table = "- Service unavailable\n- Server error\n- Requested resource not found\n- Bad gateway\n"
+    subject = "The panel on markets spoke of service unavailable, server error, requested resource not found, bad gateway again. " * 4
+    ids = spark.range(2, 4002).orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)))  # a sample of 1,500 rows by their hash takes the first of these
+    rows = [(r["id"], PROSE * 4 if i < 2000 else subject) for i, r in enumerate(ids.collect())]
+    df = frame(spark, [(1, table), *rows])
+    for parts in (1, 5):
+        assert [r["id"] for r in quality.not_prose(df.repartition(parts), "id", "text").collect()] == [1]
+    assert quality.not_prose(df.where(F.col("text") != subject), "id", "text").count() == 0
